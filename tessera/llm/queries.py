@@ -22,14 +22,24 @@ def _on(name: str, module: str, function: str) -> Query:
     return run
 
 
+def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _on("documents", "tokencount", "token_counts"),
         "op2_language_id": _on("documents", "langid", "identify"),
+        "op3_repeats": _on("documents", "repeats", "remove_repeats"),
+        "op4_decontamination": _decontaminate,
         "op5_exact_topk": _on("embeddings", "topk", "top_k"),
+        "op6_pii": _on("documents", "pii", "report"),
         "op7_license_scan": _on("documents", "licenses", "scan"),
         "op8_source_mixing": _on("documents", "mixing", "mix_report"),
         "op9_main_text": _on("pages", "maintext", "extract"),
+        "op10_near_duplicates": _on("documents", "neardup", "groups"),
     }
 
 

@@ -15,12 +15,17 @@ import pyarrow as pa
 #: Bytes of text in a block; working arrays take about 60 times as much.
 BLOCK_BYTES = 2 << 20
 
+# unsigned arithmetic wraps on purpose
+np.seterr(over="ignore")
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes that are neither letters nor digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -83,17 +88,17 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) ->
 
 
 class Words:
-    """The words of a block: maximal runs of non-space bytes, lower-cased over A-Z, never across rows.
+    """The words of a block: maximal runs of bytes outside ``space``, lower-cased over A-Z, never across rows.
 
     ``start`` and ``end`` are byte positions in the block, ``row`` the row of each
     word, ``first[r]`` the index of row r's first word (``first[-1]`` the total)
     and ``hash`` a 64-bit hash of each word's bytes.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> None:
         n = len(data)
         data = _LOWER[data]
-        solid = ~_SPACE[data]
+        solid = ~space[data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         edge = offs[:-1][offs[:-1] < n]
