@@ -14,13 +14,12 @@ Nulls, ties and clashes: a null text, or one without letters, gives ``und`` with
 score 0; equal likelihoods go to the first language in code-point order; a null
 doc_id is no held-out row and isn't learnt from; a null lang isn't learnt from;
 without any labelled row all texts are ``und``; repeated rows come back each;
-extra columns are ignored by ``identify`` and kept by ``attach``. Words of more
+extra columns are ignored by ``identify`` and kept by ``keep_identified``. Words of more
 than ``LONGEST`` letters are scored in stretches of that many.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -176,7 +175,7 @@ class Scorer:
             self.learn(fresh)
         out = []
         for b in bags:
-            if not b:
+            if not any(c.isalpha() for w in b for c in w):
                 out.append(("und", 0.0))
                 continue
             ids = np.fromiter((self.known[w] for w in b), np.int64, len(b))
@@ -209,7 +208,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOC
 
 
 def _scored(docs: DataFrame, path: str, sample_docs: int, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with lang_pred and score; the model is the only thing broadcast: pieces x languages."""
+    """``columns`` of ``docs`` with __lang and __score; the model is the only thing broadcast: pieces x languages."""
     langs, p = train(docs, path, sample_docs)
     sent = docs.sparkSession.sparkContext.broadcast((langs, p))
     wanted = docs.select(*columns, *([] if "text" in columns else ["text"]))
@@ -221,20 +220,19 @@ def _scored(docs: DataFrame, path: str, sample_docs: int, columns: list[str]) ->
                 part = batch.slice(lo, 256)
                 got = scorer.score_block(part.column("text").to_pylist())
                 cols = [part.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*columns, "__lang", "__score"])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in wanted.dtypes if c in columns)
-    return wanted.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return wanted.mapInArrow(run, f"{kinds}, __lang string, __score double")
 
 
 def identify(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     d = _scored(docs, path, sample_docs, ["doc_id"])
-    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, least: float = 0.5) -> DataFrame:
     """``docs`` without those that have no language: ``und``, or a best language less likely than ``least``."""
-    clash = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    d = _scored(docs.select(*clash), path, sample_docs, clash)
-    return d.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*clash)
+    d = _scored(docs, path, sample_docs, docs.columns)
+    return d.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)

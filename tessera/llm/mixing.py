@@ -17,8 +17,8 @@ Nulls, ties and clashes: a null text has size 0 and is taken as often as any
 other document of its source (its words are 0); a null source is a source of its
 own, last in order; a null doc_id is an ordinary row; repeated rows are rounded
 as separate rows. A source of size 0 has target 0 and takes nothing. Extra columns
-travel through ``assign_copies`` untouched under their own names (the operator's own columns
-win if names clash). An empty table gives an empty table.
+are ignored by ``mix_report`` and kept by ``mix_documents``, whatever their names.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -108,17 +108,9 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
-def assign_copies(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = (1, 2, 3), keep_columns: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies, one row per row of ``docs``.
-
-    copies is 0 to 3. With ``keep_columns`` False only doc_id and the operator's columns come back.
-    """
-    own = {"size", "source_size", "target", "copies"}
-    names = [c for c in docs.columns if c not in own] if keep_columns else ["doc_id"]
-    base = docs.select(*names, *([] if "source" in names else ["source"]), *([] if "text" in names else ["text"]))
-    base = base.withColumn("size", word_count(F.col("text")))
-    if not keep_columns:
-        base = base.drop("text")
+def _shares(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """``docs`` with size, source_size, target, whole copies, fraction p and row hash h; and the rows of the largest source."""
+    base = docs.withColumn("size", word_count(F.col("text")))
     sizes = base.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights).cache()
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
@@ -129,22 +121,18 @@ def assign_copies(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = (1,
     whole = F.floor(share + _EPS)
     part = F.greatest(F.lit(0.0), share - whole)
     part = F.when(part < _EPS, 0.0).otherwise(part)
-    carry = [c for c in (*names, *([] if "source" in names else ["source"])) if c != "text"]
-    has_text = "text" in names
-    row_hash = F.xxhash64(*[F.col(c) for c, k in base.dtypes if c != "size" and not k.startswith("map")], F.lit(seed))
-    d = d.withColumn("whole", whole.cast("int")).withColumn("p", part).withColumn("h", row_hash)
-    fields = [F.col("size").alias("k"), F.col("h"), F.col("p"), F.lit(0.0).alias("u"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.col("source_size"), F.col("target"), F.col("whole")]
-    if has_text:
-        # texts stay out of the folds: decisions come back by the row's hash
-        return _with_texts(d, names, seed, largest)
-    frac = d.where("p > 0").select("source", "n_docs", F.struct(*fields).alias("x"))
-    done = [d.where("p = 0").select(*carry, "size", "source_size", "target", F.col("whole").alias("copies"))]
-    out = [F.col(f"x.c_{i}").alias(c) for i, c in enumerate(carry)] + [F.col("x.k").alias("size"), "x.source_size", "x.target", (F.col("x.whole") + F.col("x.p").cast("int")).alias("copies")]
-    done += [x.select(*out) for x in _tree(frac, largest, seed)]
-    result = done[0]
-    for x in done[1:]:
-        result = result.unionByName(x)
-    return result.select("doc_id", *[c for c in carry if c != "doc_id"], "size", "source_size", "target", "copies")
+    return d.withColumn("whole", whole.cast("int")).withColumn("p", part).withColumn("h", F.xxhash64("doc_id", "text", "source", F.lit(seed))), largest
+
+
+def mix_report(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words taken, repeats counted) of every row; the rows travel through the tree themselves."""
+    d, largest = _shares(docs.select("doc_id", "text", "source"), seed, weights)
+    d = d.drop("text")
+    fields = F.struct(F.col("size").alias("k"), "h", "p", F.lit(0.0).alias("u"), "doc_id", "source_size", "target", "whole")
+    result = d.where("p = 0").select("doc_id", "size", "source_size", "target", F.col("whole").alias("copies"))
+    for x in _tree(d.where("p > 0").select("source", "n_docs", fields.alias("x")), largest, seed):
+        result = result.unionByName(x.select("x.doc_id", F.col("x.k").alias("size"), "x.source_size", "x.target", (F.col("x.whole") + F.col("x.p").cast("int")).alias("copies")))
+    return result.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def _tree(frac: DataFrame, largest: int, seed: int) -> list[DataFrame]:
@@ -156,7 +144,7 @@ def _tree(frac: DataFrame, largest: int, seed: int) -> list[DataFrame]:
     level = frac.withColumn("node", F.pmod(F.col("x.h"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / LEAF)).cast("long")))
     for n in range(levels):
         u = _uniform(F.col("x.h"), F.lit(seed + 101 * (n + 1)))
-        level = level.select("source", "n_docs", "node", F.col("x").withField("u", u).alias("x"))
+        level = level.select("source", "n_docs", F.col("node").cast("long").alias("node"), F.col("x").withField("u", u).alias("x"))
         met = level.groupBy("source", "node").agg(F.max("n_docs").alias("n_docs"), F.sort_array(F.collect_list("x")).alias("xs"))
         met = met.select("source", "node", "n_docs", _fold(F.col("xs")).alias("f"))
         met = materialise(met, "pivot")
@@ -168,35 +156,32 @@ def _tree(frac: DataFrame, largest: int, seed: int) -> list[DataFrame]:
     return found
 
 
-def _with_texts(d: DataFrame, names: list[str], seed: int, largest: int) -> DataFrame:
-    """As the folds without texts, then the copies joined to the rows by hash; rows with equal hashes share one number each by order."""
+def assign_copies(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(row, copies) for every row of ``docs``: the whole row as a struct, and how often it is taken, 0 to 3.
+
+    Rows stay out of the tree; decisions come back by the row's hash. Rows that agree in doc_id, text and source
+    share a hash, and their copies are dealt out evenly among them.
+    """
     from tessera.session import materialise
 
-    small = d.select("source", "n_docs", "size", "h", "p", "whole")
+    d, largest = _shares(docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct("*").alias("row")), seed, weights)
     fields = F.struct(F.col("size").alias("k"), "h", "p", F.lit(0.0).alias("u"), "whole")
-    frac = small.where("p > 0").select("source", "n_docs", fields.alias("x"))
     decided = None
-    for x in _tree(frac, largest, seed):
-        x = x.select(F.col("x.h").alias("h"), (F.col("x.whole") + F.col("x.p").cast("int")).alias("copies"))
+    for x in _tree(d.where("p > 0").select("source", "n_docs", fields.alias("x")), largest, seed):
+        x = x.select(F.col("x.h").alias("d_h"), (F.col("x.whole") + F.col("x.p").cast("int")).alias("copies"))
         decided = x if decided is None else decided.unionByName(x)
-    # repeated rows have one hash: their copies are dealt out evenly, whole rows first
-    per_hash = materialise(decided.groupBy("h").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("n_same")), "copies")
-    joined = d.join(per_hash.withColumnRenamed("h", "d_h"), F.col("h") == F.col("d_h"), "left").drop("d_h")
+    per_hash = materialise(decided.groupBy("d_h").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("n_same")), "copies")
+    joined = d.select("row", "h", "p", "whole").join(per_hash, F.col("h") == F.col("d_h"), "left")
     single = F.when(F.col("p") == 0, F.col("whole")).otherwise(F.col("all_copies"))
-    ones = joined.where("n_same IS NULL OR n_same = 1").withColumn("copies", single.cast("int"))
-    nth = F.row_number().over(Window.partitionBy("h").orderBy("size"))
-    many = joined.where("n_same > 1").withColumn("nth", nth).withColumn("copies", (F.floor(F.col("all_copies") / F.col("n_same")) + F.when(F.col("nth") <= F.col("all_copies") % F.col("n_same"), 1).otherwise(0)).cast("int"))
-    cols = [*names, "size", "source_size", "target", "copies"]
-    return ones.select(*cols).unionByName(many.select(*cols))
-
-
-def mix_report(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words taken, repeats counted) of every row."""
-    d = assign_copies(docs.select("doc_id", "text", "source"), seed, keep_columns=False)
-    return d.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    ones = joined.where("n_same IS NULL OR n_same = 1").select("row", single.cast("int").alias("copies"))
+    if per_hash.where("n_same > 1").limit(1).count() == 0:
+        return ones
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("p"))
+    extra = F.when(nth <= F.col("all_copies") % F.col("n_same"), 1).otherwise(0)
+    return ones.unionByName(joined.where("n_same > 1").select("row", (F.floor(F.col("all_copies") / F.col("n_same")) + extra).cast("int").alias("copies")))
 
 
 def mix_documents(docs: DataFrame, seed: int = 8) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as many times as the mix takes it."""
-    d = assign_copies(docs, seed).where("copies > 0")
-    return d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = assign_copies(docs, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
