@@ -129,7 +129,7 @@ def format_bytes(n: Column) -> Column:
     out = None
     for k in range(len(units) - 1, 0, -1):
         x = n / float(1024**k)
-        text = F.when(x < 100, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x))
+        text = F.when(x < 100, F.format_string("%.1f", F.bround(x, 1))).otherwise(F.format_string("%.0f", F.bround(x, 0)))
         branch = F.concat(text, F.lit(" " + units[k]))
         out = F.when(n >= 1024**k, branch) if out is None else out.when(n >= 1024**k, branch)
     return out.otherwise(F.concat(n.cast("string"), F.lit(" B")))

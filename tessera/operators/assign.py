@@ -27,7 +27,7 @@ def ketama_ring(servers: DataFrame, name: str, word: Callable[[Column, int], Col
     return d.groupBy("point").agg(F.min("server").alias("server"))
 
 
-def lookup(requests: DataFrame, code: str, points: DataFrame, buckets: int = 64) -> DataFrame:
+def lookup(requests: DataFrame, code: str, points: DataFrame, buckets: int = 512) -> DataFrame:
     """``requests`` with the server of the first point at or after their code, around the ring.
 
     A forward as-of join by union and frame. The code space is cut into ranges, each a partition of its

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranking import running_max_before
+
 
 def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple], schema: str) -> DataFrame:
     """One output row for each event: ``step(state, event)`` updates the state in place and returns the output after the key and order columns."""
@@ -236,8 +238,8 @@ def quorum(matches: DataFrame, group: str, index: str) -> DataFrame:
 def resolve_log(entries: DataFrame) -> DataFrame:
     """Log entries (log_index, term, ...) after conflicts: the highest term of each index, and nothing after an index whose winner is of a later term than its successor's."""
     top = entries.groupBy("log_index").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "log_index"]), "term").alias("e")).select("log_index", "e.*")
-    w = Window.orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
-    return top.withColumn("_before", F.max("term").over(w)).where(F.col("_before").isNull() | (F.col("term") >= F.col("_before"))).drop("_before")
+    before = running_max_before(top, "log_index", "term", "_before")
+    return before.where(F.col("_before").isNull() | (F.col("term") >= F.col("_before"))).drop("_before")
 
 
 def truncate_log(entries: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -121,12 +121,16 @@ def candidate(nodes: DataFrame, replicas: DataFrame, in_flight: DataFrame) -> Da
 
     ``nodes`` (node, is_fault), ``replicas`` (pid, node), ``in_flight`` (pid, node). Load counts held and
     arriving partitions; at equal load the faulty node back in service comes first, then the smaller name.
-    Only partitions in need are crossed with nodes, which are few.
+    Partitions meet only as many nodes as one of them can exclude, and one more.
     """
+    taken = replicas.unionByName(in_flight).distinct()
     load = replicas.unionByName(in_flight).groupBy("node").agg(F.count("*").alias("load"))
     n = nodes.join(load, "node", "left").select("node", "is_fault", F.coalesce("load", F.lit(0)).alias("load"))
-    every = replicas.select("pid").distinct().join(F.broadcast(n))
-    open_ = every.join(replicas.unionByName(in_flight), ["pid", "node"], "left_anti")
+    # a partition that excludes m nodes finds its best among the m + 1 least loaded of all
+    most = taken.groupBy("pid").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    least = n.orderBy("load", F.col("is_fault").desc(), "node").limit(most + 1)
+    every = replicas.select("pid").distinct().join(F.broadcast(least))
+    open_ = every.join(taken, ["pid", "node"], "left_anti")
     best = open_.groupBy("pid").agg(F.min_by("node", F.struct("load", (~F.col("is_fault")).alias("f"), "node")).alias("node"))
     return best
 

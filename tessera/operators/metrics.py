@@ -41,15 +41,29 @@ def vector_sum(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return d.groupBy(key).agg(F.transform(ordered, lambda p: p["s"]).alias(vector))
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+#: Width of the value ranges that ranks are counted by: 32-bit values have at most so many ranges.
+RANGE = 65_536
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], width: int = RANGE) -> DataFrame:
     """Exact nearest-rank percentiles: the value at ceil(p * n) in order.
 
-    Ranks come from counts of distinct values, which pre-aggregate, so a hot key sorts its values and not its rows.
+    Ranks come from counts of distinct values, which pre-aggregate, so a hot key doesn't move its rows. The counts
+    are summed by ranges of values first; only ranges that hold a sought rank are looked into, each by itself.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    cum = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    picks = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("n")), F.col(value))).alias(name) for name, p in shares.items()]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c")).withColumn("r", F.floor(F.col(value) / width))
+    blocks = counts.groupBy(*keys, "r").agg(F.sum("c").alias("bc"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("bc").over(w.orderBy("r"))
+    blocks = blocks.withColumn("after", upto).withColumn("n", F.sum("bc").over(w)).withColumn("base", F.col("after") - F.col("bc"))
+    rank = {name: F.ceil(F.lit(p) * F.col("n")) for name, p in shares.items()}
+    sought = F.lit(False)
+    for k in rank.values():
+        sought = sought | ((k > F.col("base")) & (k <= F.col("after")))
+    inner = counts.join(blocks.where(sought).select(*keys, "r", "base", "n"), [*keys, "r"])
+    cum = inner.withColumn("upto", F.col("base") + F.sum("c").over(Window.partitionBy(*keys, "r").orderBy(value)))
+    # the first value that reaches the rank; smaller ranges that were looked into end before it
+    picks = [F.min(F.when(F.col("upto") >= k, F.col(value))).alias(name) for name, k in rank.items()]
     return cum.groupBy(*keys).agg(*picks)
 
 

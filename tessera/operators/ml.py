@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranking import ranked
+
 PI = 3.14159
 
 
@@ -39,7 +41,7 @@ def uniform_init(rows: DataFrame, k: int, n: int, seed: int | None = None) -> li
     """Rows i * n / k in order of id; with a seed, one random row of each such interval."""
     rng = np.random.default_rng(seed) if seed is not None else None
     picks = [int(i * n / k) if rng is None else int(rng.integers(int(i * n / k), max(int(i * n / k) + 1, int((i + 1) * n / k)))) for i in range(k)]
-    placed = rows.withColumn("_no", F.row_number().over(Window.orderBy("id")) - 1).where(F.col("_no").isin(picks))
+    placed = ranked(rows, "id", "_no").where(F.col("_no").isin(picks))
     got = {r["_no"]: r["features"] for r in placed.collect()}
     return [list(got[p]) for p in picks]
 

@@ -59,7 +59,7 @@ def delete(spark, d):
 
 def delete_keys(spark, d):
     e = table(spark, d, "events")
-    gone = e.where("event_type = 'error'").select(F.col("user_id").alias("key"))
+    gone = e.where("user_id % 7 = 3").select(F.col("user_id").alias("key"))
     return kv.delete(kv.state(_log(spark, d)), gone).select("key", "value")
 
 
@@ -188,7 +188,7 @@ ORACLES = {
     "kv_ttl_sweep": f"SELECT count(*) FILTER (WHERE expired = 0 OR expired > {NOW}) AS kept, count(*) FILTER (WHERE expired <> 0 AND expired <= {NOW}) AS swept FROM ({_EXP})",
     "kv_expiry_index": f"SELECT expired, count(DISTINCT key) AS n_keys, min(key) AS first_key FROM ({_EXP}) WHERE expired > 0 GROUP BY expired",
     "kv_delete": f"SELECT key, value FROM ({_LAST}) WHERE value <> 'error'",
-    "kv_delete_keys": f"SELECT key, value FROM ({_LAST}) WHERE key NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+    "kv_delete_keys": f"SELECT key, value FROM ({_LAST}) WHERE key NOT IN (SELECT user_id FROM events WHERE user_id % 7 = 3)",
     "kv_table_info": f"SELECT pid, n AS size, CAST(coalesce(sum(n) OVER (ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM (SELECT pid, count(*) AS n FROM ({_CUST}) GROUP BY pid)",
     "kv_list_page": f"SELECT place, pid, key, value FROM (SELECT *, row_number() OVER (ORDER BY pid, key) - 1 AS place FROM ({_CUST})) WHERE place >= 100 AND place < 160",
     "kv_list_resume": f"SELECT pid, key, value FROM ({_CUST}) WHERE pid > 1 OR (pid = 1 AND key >= 41) ORDER BY pid, key LIMIT 50",

@@ -73,8 +73,8 @@ def hmm_train(spark, d):
 
 def life_step(spark, d):
     li = table(spark, d, "lineitem").where("l_linenumber = 1")
-    cells = li.select((F.col("l_orderkey") * 7 % 64).cast("int").alias("x"), (F.col("l_partkey") % 48).cast("int").alias("y")).distinct()
-    return sim.life_step(cells, 64, 48).select("x", "y")
+    cells = li.select((F.col("l_orderkey") * 7 % 256).cast("int").alias("x"), (F.col("l_partkey") % 192).cast("int").alias("y")).distinct()
+    return sim.life_step(cells, 256, 192).select("x", "y")
 
 
 def balance(spark, d):
@@ -220,11 +220,11 @@ ORACLES = {
     "kmeans_assign": f"WITH {_V} SELECT id, label, round(dist, 6) AS dist FROM y",
     "kmeans_step": f"WITH {_V} SELECT label, count(*) AS n, round(avg(a), 6) AS m0, round(avg(b), 6) AS m1, round(avg(c), 6) AS m2 FROM y GROUP BY label",
     "gmm_estep": f"WITH {_V} SELECT id, round(sum(0.25 * {_P}), 6) AS density, round(sum(0.25 * {_P}) FILTER (WHERE label = 0) / sum(0.25 * {_P}), 6) AS share FROM v, k GROUP BY id",
-    "life_step": "WITH c AS (SELECT DISTINCT CAST(l_orderkey * 7 % 64 AS INTEGER) AS x, CAST(l_partkey % 48 AS INTEGER) AS y FROM lineitem WHERE l_linenumber = 1), s AS (SELECT CAST((x + dx + 64) % 64 AS INTEGER) AS x, CAST((y + dy + 48) % 48 AS INTEGER) AS y, CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE 0 END AS own FROM c, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)) SELECT x, y FROM s GROUP BY x, y HAVING count(*) = 3 OR (count(*) = 4 AND max(own) = 1)",
+    "life_step": "WITH c AS (SELECT DISTINCT CAST(l_orderkey * 7 % 256 AS INTEGER) AS x, CAST(l_partkey % 192 AS INTEGER) AS y FROM lineitem WHERE l_linenumber = 1), s AS (SELECT CAST((x + dx + 256) % 256 AS INTEGER) AS x, CAST((y + dy + 192) % 192 AS INTEGER) AS y, CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE 0 END AS own FROM c, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)) SELECT x, y FROM s GROUP BY x, y HAVING count(*) = 3 OR (count(*) = 4 AND max(own) = 1)",
     "balance_grow": "SELECT o_orderkey, x - 100 AS sum_x, y + 100 AS sum_y, y - x + 200 AS link, x // 4 AS prod_x, y * 4 AS prod_y FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS x, o_custkey AS y FROM orders)",
     "sm_counter": "SELECT user_id AS node, event_id AS seq, CAST(coalesce(sum(CAST(floor(value * 1000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS previous FROM events",
     "sm_exchange": "SELECT user_id AS node, event_id AS seq, coalesce(lag(CAST(floor(value * 1000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS previous FROM events",
-    "quorum_commit": "SELECT grp, l[CAST(floor(len(l) / 2) AS INTEGER) + 1] AS committed FROM (SELECT grp, list(at ORDER BY at DESC) AS l FROM (SELECT l_suppkey % 11 AS grp, CAST(sum(l_linenumber) AS BIGINT) AS at FROM lineitem GROUP BY grp, l_suppkey) GROUP BY grp)",
+    "quorum_commit": "SELECT grp, l[CAST(floor(len(l) / 2) AS INTEGER) + 1] AS committed FROM (SELECT grp, list(m ORDER BY m DESC) AS l FROM (SELECT l_suppkey % 11 AS grp, CAST(sum(l_linenumber) AS BIGINT) AS m FROM lineitem GROUP BY grp, l_suppkey) GROUP BY grp)",
     "log_conflicts": "SELECT log_index, term FROM (SELECT *, max(term) OVER (ORDER BY log_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT event_id % 997 AS log_index, max(user_id) AS term FROM events GROUP BY 1)) WHERE b IS NULL OR term >= b",
     "log_range": "SELECT event_id AS log_index, event_type FROM events WHERE event_id BETWEEN 100 AND 199",
     "snapshot_throttle": "SELECT l_suppkey, l_linenumber, l_orderkey, CAST(greatest(0, least(q, 500 - coalesce(b, 0))) AS BIGINT) AS granted FROM (SELECT *, sum(q) OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT l_suppkey, l_linenumber, l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem))",

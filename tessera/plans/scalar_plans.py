@@ -227,7 +227,7 @@ ORACLES = {
     "hash_digests": f"SELECT c_custkey, m AS md5, sha1(c_name) AS sha1, base64(encode(c_name)) AS b64, hex(c_name) AS hexed, {_W.format(1)} AS md5_32, {_W.format(25)} AS md5_last FROM (SELECT c_custkey, c_name, md5(c_name) AS m FROM customer)",
     "time_parts": "SELECT o_orderkey, us, us // 1000000 AS secs, us // 1000 AS ms, us - us % 86400000000 AS midnight, (us + 1000) // 1000 AS up_ms, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(dayofweek(o_orderdate) AS INTEGER) AS day_of_week, CAST(day(o_orderdate) AS INTEGER) AS day_of_month, CAST(hour(o_orderdate) AS INTEGER) AS hour, CAST(minute(o_orderdate) AS INTEGER) AS minute, CAST(second(o_orderdate) AS INTEGER) AS second FROM (SELECT *, epoch_us(o_orderdate) AS us FROM orders)",
     "time_throttle": "SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS tick, min(event_id) AS first_id FROM events GROUP BY 1",
-    "checked_math": "SELECT f AS floor2, c AS ceil2, count(*) AS n, count(*) FILTER (WHERE CAST(a AS HUGEINT) * b <= 9223372036854775807) AS n_product, count(*) FILTER (WHERE 9223372036854775000::HUGEINT + b <= 9223372036854775807) AS n_total, CAST(sum(a % b) AS BIGINT) AS rest, CAST(-sum(b // nullif(l_linenumber - 1, 0)) AS BIGINT) AS quotient FROM (SELECT *, CAST(length(bin(b)) - 1 AS INTEGER) AS f, CAST(length(bin(b - 1)) - CASE WHEN b = 1 THEN 1 ELSE 0 END AS INTEGER) AS c FROM (SELECT l_orderkey * 1000000000000 AS a, l_partkey AS b, l_linenumber FROM lineitem)) GROUP BY 1, 2",
+    "checked_math": "SELECT f AS floor2, c AS ceil2, count(*) AS n, count(*) FILTER (WHERE CAST(a AS HUGEINT) * b <= 9223372036854775807) AS n_product, count(*) FILTER (WHERE 9223372036854775000::HUGEINT + b <= 9223372036854775807) AS n_total, CAST(sum(a % nullif(b, 0)) AS BIGINT) AS rest, CAST(-sum(b // nullif(l_linenumber - 1, 0)) AS BIGINT) AS quotient FROM (SELECT *, CASE WHEN b > 0 THEN CAST(length(bin(b)) - 1 AS INTEGER) ELSE -1 END AS f, CASE WHEN b > 0 THEN CAST(length(bin(b - 1)) - CASE WHEN b = 1 THEN 1 ELSE 0 END AS INTEGER) ELSE -1 END AS c FROM (SELECT l_orderkey * 1000000000000 AS a, l_partkey AS b, l_linenumber FROM lineitem)) GROUP BY 1, 2",
     "net_addresses": "SELECT c_custkey, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS ip, n AS back, (n & 255) >= 25 AS bad FROM (SELECT c_custkey, c_custkey * 65793 AS n FROM customer)",
     "json_parse": "SELECT event_id, true AS ok, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events",
     "json_emit": "SELECT conv_id, turn, '{{\"id\":' || conv_id || CASE WHEN role = 'user' THEN ',\"turn\":' || turn ELSE '' END || ',\"role\":\"' || role || '\"}}' AS js FROM conversations",

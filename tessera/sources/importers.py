@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.ranking import ranked
 
 
 def pair(line: Column, sep: str) -> tuple[Column, Column, Column]:
@@ -84,13 +85,7 @@ def dump_requests(rows: DataFrame, path: str, fraction: float, seed: int, per_fi
 
 
 def replay(rows: DataFrame, order: str, times: int, qps: float) -> DataFrame:
-    """Every request ``times`` times, with the second at which a throttle lets it go.
-
-    Places come from ids per partition and partition offsets, not from one global ranking.
-    """
-    d = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    d = d.repartitionByRange("round", order).sortWithinPartitions("round", order).withColumn("_pid", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = d.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_id").alias("_lo")).withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    d = d.join(F.broadcast(sizes.select("_pid", "_lo", "_base")), "_pid")
-    return d.withColumn("send_s", F.floor((F.col("_base") + F.col("_id") - F.col("_lo")) / qps).cast("long")).drop("_pid", "_id", "_lo", "_base")
+    """Every request ``times`` times, with the second at which a throttle lets it go; rounds follow each other."""
+    n = rows.count()
+    d = ranked(rows, order, "_place").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return d.withColumn("send_s", F.floor((F.col("round") * F.lit(n) + F.col("_place")) / qps).cast("long")).drop("_place")
