@@ -13,8 +13,8 @@ follows from the target recall. Candidates are verified exactly with a
 bit-parallel edit distance against all passages of their region.
 
 Only windows that can match are embedded: within e edits of L words at least
-L - 1 - 2 e of the item's word pairs survive, so a window with fewer pairs that
-occur in any item is out. This loses nothing.
+L - 1 - 2 e of the item's word pairs survive, so a window with fewer pairs of
+items of that length is out. This loses nothing.
 
 Items go out in blocks of ``ITEM_BLOCK``, each against all documents. Nulls, ties
 and clashes: null or wordless texts have no leaks; items that are null or have
@@ -130,6 +130,13 @@ class Items:
         for i, h in enumerate(self.words):
             by_length[len(h)].append(i)
             self.pairs[_pair_slots(h)] = True
+        # for each word pair: the lengths of the items that have it
+        slots = np.concatenate([_pair_slots(h) for h in self.words]) if self.words else np.zeros(0, np.int64)
+        lengths = np.concatenate([np.full(len(h) - 1, len(h)) for h in self.words]) if self.words else np.zeros(0, np.int64)
+        known = np.unique(np.stack([slots, lengths], axis=1), axis=0)
+        self.slots, self.slot_first = np.unique(known[:, 0], return_index=True)
+        self.slot_count = np.diff(np.append(self.slot_first, len(known)))
+        self.slot_length = known[:, 1]
         # for each length: the items and, for each repetition, their keys in order
         self.tables = {}
         for length, members in sorted(by_length.items()):
@@ -139,65 +146,100 @@ class Items:
                 keys.append((k[order], np.array(members)[order]))
             self.tables[length] = keys
 
-    def find(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, edits) for every leak into the rows of a block, the least edits of each."""
-        w = Words(data, offs, NOT_ALNUM)
+    def _starts(self, w: Words) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, window starts) of a block that can match an item of that length."""
         h, n = w.hash, len(w.hash)
-        if n < LEAST_WORDS or not self.ids:
-            return []
-        hit = np.zeros(n, bool)
-        hit[:-1] = self.pairs[_pair_slots(h)] & (w.row[1:] == w.row[:-1])
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        at = np.flatnonzero(hit)
+        if n < LEAST_WORDS:
+            return
+        slots = _pair_slots(h)
+        at = np.flatnonzero(self.pairs[slots])
+        at = at[w.row[at] == w.row[at + 1]]
+        # each pair counts for the lengths of the items that have it
+        k = np.searchsorted(self.slots, slots[at])
+        reps = self.slot_count[k]
+        place = np.repeat(at, reps)
+        of = self.slot_length[np.repeat(self.slot_first[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
+        by = np.argsort(of, kind="stable")
+        place, of = place[by], of[by]
         row_end = w.first[w.row + 1]
-        wanted: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for length, tables in self.tables.items():
+        for length in self.tables:
             e = max_edits(length)
-            ends = np.minimum(at + length + e, row_end[at])
-            near = at[upto[ends] - upto[at] >= length - 1 - 2 * e]
+            mine = place[np.searchsorted(of, length, "left") : np.searchsorted(of, length, "right")]
+            if not len(mine):
+                continue
+            ends = np.minimum(mine + length + e, row_end[mine])
+            near = mine[np.searchsorted(mine, ends) - np.arange(len(mine)) >= length - 1 - 2 * e]
             if not len(near):
                 continue
-            starts = np.unique(np.concatenate([near - j for j in range(min(e, 3) + 1)]))
+            back = min(e, 3)
+            starts = np.unique(np.concatenate([near - j for j in range(back + 1)]))
             starts = starts[starts >= 0]
-            starts = starts[w.row[starts] == w.row[np.minimum(starts + min(e, 3), n - 1)]]
-            for lo in range(0, len(starts), 50_000):
-                s = starts[lo : lo + 50_000]
+            starts = starts[w.row[starts] == w.row[np.minimum(starts + back, n - 1)]]
+            if len(starts):
+                yield length, starts
+
+    def find(self, column: pa.Array) -> list[tuple[int, int, int]]:
+        """(row, item, edits) for every leak into the texts of a column, the least edits of each.
+
+        The blocks' windows are gathered by length first, so that the walks run over many at a time.
+        """
+        blocks: list[tuple[int, np.ndarray, np.ndarray]] = []
+        windows: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for first, data, offs, _ in text_blocks(column):
+            w = Words(data, offs, NOT_ALNUM)
+            for length, starts in self._starts(w):
                 # a window that runs over its row's end shows the end mark there
-                index = s[:, None] + np.arange(length)
-                window = np.where(index < row_end[s][:, None], h[np.minimum(index, n - 1)], np.uint64(0))
-                found = []
-                for key, (known, members) in zip(sample_keys(window), tables, strict=True):
-                    a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                    some = np.flatnonzero(b > a)
-                    if len(some):
-                        reps = b[some] - a[some]
-                        which = np.repeat(a[some], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                        found.append(np.stack([np.repeat(s[some], reps), members[which]], axis=1))
-                if found:
-                    for start, item in np.unique(np.concatenate(found), axis=0):
-                        wanted[int(w.row[start]), int(item)].append(int(start))
+                index = starts[:, None] + np.arange(length)
+                inside = index < w.first[w.row[starts] + 1][:, None]
+                window = np.where(inside, w.hash[np.minimum(index, len(w.hash) - 1)], np.uint64(0))
+                windows[length].append((len(blocks), starts, w.row[starts], window))
+            blocks.append((first, w.hash, w.first))
+        wanted: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        for length, parts in windows.items():
+            block = np.concatenate([np.full(len(x[1]), x[0]) for x in parts])
+            start, row = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
+            for at, item in self._matches(length, np.concatenate([x[3] for x in parts])):
+                wanted[int(block[at]), int(row[at]), int(item)].append(int(start[at]))
         out = []
-        for (row, item), starts in wanted.items():
-            length = len(self.words[item])
-            e = max_edits(length)
-            best, pattern, bag = e + 1, self.words[item].tolist(), self.bags[item]
-            first, last = int(w.first[row]), int(w.first[row + 1])
-            lo = hi = -1
-            for s in [*sorted(starts), None]:
-                if s is not None and lo >= 0 and s - 2 * e <= hi:
-                    hi = min(last, s + length + 2 * e)
-                    continue
-                if lo >= 0:
-                    text = h[lo:hi].tolist()
-                    # within e edits at least L - e words are common
-                    if sum((Counter(text) & bag).values()) >= length - e:
-                        best = min(best, least_distance(pattern, text))
-                if s is not None:
-                    lo, hi = max(first, s - 2 * e), min(last, s + length + 2 * e)
-            if best <= e:
-                out.append((row, item, best))
+        for (b, row, item), starts in wanted.items():
+            first, h, firsts = blocks[b]
+            best = self._verify(item, h, int(firsts[row]), int(firsts[row + 1]), sorted(starts))
+            if best is not None:
+                out.append((first + row, item, best))
         return sorted(out)
 
+    def _matches(self, length: int, window: np.ndarray) -> np.ndarray:
+        """(window, item) pairs that share a key."""
+        found = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(window), 50_000):
+            for key, (known, members) in zip(sample_keys(window[lo : lo + 50_000]), self.tables[length], strict=True):
+                a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+                some = np.flatnonzero(b > a)
+                if len(some):
+                    reps = b[some] - a[some]
+                    which = np.repeat(a[some], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                    found.append(np.stack([np.repeat(some, reps) + lo, members[which]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _verify(self, item: int, h: np.ndarray, first: int, last: int, starts: list[int]) -> int | None:
+        """Least edits between an item and any passage around the starts in a row [first, last); None if over the bound."""
+        length = len(self.words[item])
+        e = max_edits(length)
+        spans: list[list[int]] = []
+        for s in starts:
+            lo, hi = max(first, s - 2 * e), min(last, s + length + 2 * e)
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+        best, bag = e + 1, self.bags[item]
+        for lo, hi in spans:
+            text = h[lo:hi].tolist()
+            # within e edits at least L - e words are common
+            if sum((Counter(text) & bag).values()) >= length - e:
+                best = min(best, least_distance(self.words[item].tolist(), text))
+        return best if best <= e else None
+
 
 def _pair_slots(h: np.ndarray) -> np.ndarray:
     return (mix(mix(h[:-1]) + h[1:]) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
@@ -225,11 +267,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = Items(sent.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for first, data, offs, _ in text_blocks(batch.column(1)):
-                    got = items.find(data, offs)
-                    if got:
-                        cols = [[ids[first + r] for r, _, _ in got], [items.ids[i] for _, i, _ in got], [len(items.words[i]) for _, i, _ in got], [e for _, _, e in got]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_words", "edits"])
+                got = items.find(batch.column(1))
+                if got:
+                    cols = [[ids[r] for r, _, _ in got], [items.ids[i] for _, i, _ in got], [len(items.words[i]) for _, i, _ in got], [e for _, _, e in got]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_words", "edits"])
 
         one = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_words long, edits long")
         found = one if found is None else found.unionByName(one)
@@ -247,8 +288,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = Items(sent.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for first, data, offs, _ in text_blocks(batch.column("text")):
-                    clean[[first + r for r, _, _ in items.find(data, offs)]] = False
+                clean[[r for r, _, _ in items.find(batch.column("text"))]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
