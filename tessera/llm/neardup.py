@@ -7,13 +7,18 @@ any more. Signatures are banded; documents that share a band are candidates,
 confirmed on their full shingle sets; union-find over the confirmed links gives
 the groups.
 
-Equal sets are one class from the start, so copies never meet as pairs. Classes
-that share a band are linked through hubs: first each with the smallest class it
-shares a band with, then, while parts of a bucket are still apart, with every
-bucket's hub, and in the end every class with all those of its buckets that are
-not in its component yet. So no link can be missed for being in a large bucket,
-and within a component no further pairs are made. With 32 bands of 4 a link at
-the threshold shares no band with probability 5e-6.
+Equal sets are one class from the start, so copies never meet as pairs. A class
+most of whose signature no other class has can't have a link: keys of two places
+tell, of which a linked class shares 36 of 64 on average and fewer than 17 with
+probability 1e-6. Of the rest, those that share a band are candidates. First
+each meets one of them, the one whose signature is the most shared (the centre of
+its family). Then every class meets all those of its buckets that are not in its
+component yet, if their sets can reach the threshold: of a set only shingles that
+another class has can be common, and these are counted exactly. (While that is
+too many pairs, members of divided buckets meet further hubs.) So no link can be
+missed for being in a large bucket, and within a component no further pairs are
+made. With 32 bands of 4 a link at the threshold shares no band with probability
+5e-6.
 
 Nulls, ties and clashes: a null text, or one without words, has an empty set, is
 its own component and is kept; a null doc_id is never the smallest while another
@@ -32,17 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
+from tessera.llm.components import forest_roots, merged
 from tessera.llm.textblocks import Words, mix, shingles, text_blocks
-from tessera.session import materialise
+from tessera.session import materialise, small_batches
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 PLACES, BANDS = 128, 32
+#: Keys of a signature, each of two places, and how many of them a link shares at least (see above).
+KEYS, LEAST_KEYS = 64, 17
 #: Cross-component pairs per class beyond which another round of hubs comes before the pairs.
 PAIRS_PER_CLASS = 20
-MOST_ROUNDS = 5
+MOST_ROUNDS = 2
 
 
 def super_minhash(row: np.ndarray, value: np.ndarray, n_rows: int, places: int = PLACES) -> np.ndarray:
@@ -88,8 +95,8 @@ def super_minhash(row: np.ndarray, value: np.ndarray, n_rows: int, places: int =
     return sig.reshape(n_rows, places)
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """One key per row and band; the band's number is part of it."""
+def place_keys(sig: np.ndarray, bands: int = KEYS) -> np.ndarray:
+    """One key per row and run of places; the run's number is part of it."""
     n, places = sig.shape
     bits = np.ascontiguousarray(sig).view(np.uint64).reshape(n, bands, places // bands)
     acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25), (n, bands)).copy()
@@ -98,9 +105,9 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _sets(column, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sets(column, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each shingle, shingle) by blocks."""
-    for first, data, offs, _ in text_blocks(column, *([limit] if limit else [])):
+    for first, data, offs, _ in text_blocks(column, limit):
         row, value = shingles(Words(data, offs), WIDTH)
         yield first, len(offs) - 1, row, value
 
@@ -112,22 +119,22 @@ def _digests(n: int, row: np.ndarray, value: np.ndarray) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, digest, bands) of ``docs`` (doc_id, text); digest names the shingle set."""
+    """(doc_id, text_hash, n_shingles, digest, keys) of ``docs`` (doc_id, text); digest names the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, row, value in _sets(batch.column(2)):
-                keys = band_keys(super_minhash(row, value, n))
+                keys = place_keys(super_minhash(row, value, n))
                 digests = _digests(n, row, value)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * KEYS)
                 part = batch.slice(first, n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), part.column(1), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                    ["doc_id", "text_hash", "n_shingles", "digest", "bands"],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "keys"],
                 )
 
     given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return given.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>")
+    return given.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,7 +153,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for first, n, row_a, set_a in _sets(batch.column("text_a"), 1 << 20):
+            for first, n, row_a, set_a in _sets(batch.column("text_a")):
                 _, _, row_b, set_b = next(_sets(batch.column("text_b").slice(first, n), 1 << 62))
                 row, value = np.concatenate([row_a, row_b]), np.concatenate([set_a, set_b])
                 order = np.lexsort((value, row))
@@ -157,7 +164,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good[first : first + n] = 100 * common >= PERCENT * union
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    # texts of repeated rows stand more than once
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _may_link(n: str, m: str) -> F.Column:
@@ -165,62 +173,122 @@ def _may_link(n: str, m: str) -> F.Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def class_links(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that join every component of the similarity graph."""
-    spark = docs.sparkSession
-    classes = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    classes = materialise(classes.select("digest", "n", "bands", "at.doc_id", "at.text_hash"), "classes")
-    rows = classes.select(F.explode("bands").alias("bucket"), "digest", "n")
-    hubs = rows.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count("*").alias("members")).where("members > 1")
+def _bands(keys: str) -> F.Column:
+    """Bucket names of the bands, each from the keys of its places."""
+    per = KEYS // BANDS
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(keys, b * per + 1, F.lit(per))))
+
+
+def likely(classes: DataFrame) -> DataFrame:
+    """The ``classes`` (digest, keys, ...) enough of whose keys others have, and how many (``centre``); by counts, so large groups cost what small ones do."""
+    keyed = classes.select(F.xxhash64("digest").alias("c"), F.explode("keys").alias("key"))
+    common = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n"), "common")
+    # equal 64-bit names of two classes would only keep both
+    strong = keyed.join(common, F.col("key") == F.col("k")).groupBy("c").agg(F.count("*").alias("shares"), F.sum("n").alias("centre")).where(F.col("shares") >= LEAST_KEYS)
+    strong = materialise(strong.select(F.col("c").alias("s"), "centre"), "strong")
+    return classes.join(strong, F.xxhash64("digest") == F.col("s")).drop("s")
+
+
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """(c, common): of each class of ``texts`` (digest, text), by hash, the shingles that another of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column(0).to_numpy()
+            for first, _, row, value in _sets(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(c[first + row]), pa.array(value.view(np.int64))], ["c", "sh"])
+
+    # a class may stand more than once in ``texts``, if its row is repeated
+    once = texts.groupBy(F.xxhash64("digest").alias("c")).agg(F.first("text").alias("text"))
+    each = materialise(once.mapInArrow(run, "c long, sh long"), "shingles")
+    some = materialise(each.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sh").alias("s")), "some")
+    counted = each.join(some, F.col("sh") == F.col("s"), "left_semi").groupBy("c").agg(F.count("*").alias("common"))
+    return materialise(counted.withColumnRenamed("c", "cc"), "counts")
+
+
+def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root) of the ``classes`` that are not the root of their component of the similarity graph."""
+    live = materialise(likely(classes), "live")
+    rows = live.select(F.explode(_bands("keys")).alias("bucket"), "digest", "n", "centre")
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("centre", "digest")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = materialise(hubs.select(F.col("bucket").alias("k"), "hub"), "hubs")
-    rows = rows.select("bucket", "digest", "n")
     shared = materialise(rows.join(hubs, F.col("bucket") == F.col("k")).select("bucket", "digest", "n", "hub"), "buckets")
-    wanted = shared.select(F.col("digest").alias("x")).distinct()
-    texts = materialise(_texts(docs, classes.join(wanted, F.col("digest") == F.col("x"))), "texts")
-    n_classes = wanted.count()
-
-    first = shared.where("digest <> hub").groupBy("digest").agg(F.min("hub").alias("b"))
-    tested = materialise(first.select(F.col("digest").alias("a"), "b"), "pairs")
-    links = materialise(confirm(tested, texts), "links")
-    none = spark.createDataFrame([], "bucket long, big binary, comp binary, cost long")
+    texts = materialise(_texts(docs, live), "texts")
+    keys = live.select("digest", "keys")
+
+    # hubs come later in the order of (centre, digest) than their members: a forest
+    first = shared.where("digest <> hub.digest").groupBy("digest").agg(F.max("hub").alias("hub"))
+    tested = materialise(first.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")), "pairs")
+    links = confirm(tested, texts)
+    roots = forest_roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    named = _named(shared, roots)
+    if _split(named).limit(1).count() == 0:
+        return roots
+    counts = common_shingles(texts)
+    can = shared.join(counts, F.xxhash64("digest") == F.col("cc")).where(100 * F.col("common") >= PERCENT * F.col("n"))
+    shared = materialise(can.select("bucket", "digest", "n", "common"), "buckets")
+    n_classes = live.count()
     for turn in range(MOST_ROUNDS + 1):
-        roots = components(links)
-        named = shared.select("bucket", "digest", "n").join(roots, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", F.coalesce("root", "digest").alias("comp"))
-        named = materialise(named, "named")
-        parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("members"))
-        split = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("members").alias("total"), F.max(F.struct("members", "comp")).alias("most")).where("parts > 1")
-        split = materialise(split.select(F.col("bucket").alias("k"), F.col("most.comp").alias("big"), ((F.col("total") - F.col("most.members")) * F.col("total")).alias("cost")), "split")
+        named = _named(shared, roots)
+        split = materialise(_split(named), "split")
         cost = split.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
         if not cost:
-            return links
+            return roots
         open_rows = named.join(split.select("k", "big"), F.col("bucket") == F.col("k")).drop("k")
-        if turn < MOST_ROUNDS and cost > PAIRS_PER_CLASS * n_classes:
+        last = turn == MOST_ROUNDS or cost <= PAIRS_PER_CLASS * n_classes
+        if last:
+            side = open_rows.where("comp <> big")
+        else:
             # buckets in several parts, some large: their members meet a new hub of the bucket first
             order = F.xxhash64("digest", "bucket", F.lit(turn))
-            picked = materialise(open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("h")).select(F.col("bucket").alias("k"), "h.hub", "h.hub_n", "h.hub_comp"), "hubs")
-            pairs = open_rows.join(picked, F.col("bucket") == F.col("k")).where((F.col("comp") != F.col("hub_comp")) & _may_link("n", "hub_n"))
-            pairs = pairs.select(F.greatest("digest", "hub").alias("a"), F.least("digest", "hub").alias("b")).distinct()
-            last = False
-        else:
-            small = open_rows.where("comp <> big").select(F.col("bucket").alias("k"), F.col("digest").alias("d"), F.col("n").alias("m"), F.col("comp").alias("c"))
-            pairs = open_rows.join(small, F.col("bucket") == F.col("k")).where((F.col("comp") != F.col("c")) & _may_link("n", "m") & ((F.col("comp") == F.col("big")) | (F.col("digest") > F.col("d"))))
-            pairs = pairs.select(F.greatest("digest", "d").alias("a"), F.least("digest", "d").alias("b")).distinct()
-            last = True
-        fresh = materialise(pairs.join(tested.withColumnsRenamed({"a": "ta", "b": "tb"}), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
-        links = materialise(links.unionByName(confirm(fresh, texts)), "links")
+            side = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "digest", "n", "common", "comp")).alias("h")).select("bucket", "h.digest", "h.n", "h.common", "h.comp")
+        side = materialise(side.select(F.col("bucket").alias("k"), F.col("digest").alias("d"), F.col("n").alias("m"), F.col("common").alias("f"), F.col("comp").alias("c")), "side")
+        apart = (F.col("comp") != F.col("c")) & _may_link("n", "m")
+        # what both have is at most what either has in common with any
+        apart &= (100 + PERCENT) * F.least("common", "f") >= PERCENT * (F.col("n") + F.col("m"))
+        if last:
+            apart &= (F.col("comp") == F.col("big")) | (F.col("digest") > F.col("d"))
+        pairs = open_rows.join(side, (F.col("bucket") == F.col("k")) & apart)
+        pairs = pairs.select(F.greatest("digest", "d").alias("a"), F.least("digest", "d").alias("b")).distinct()
+        done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
+        fresh = materialise(pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
+        roots = merged(roots, confirm(alike(fresh, keys), texts))
         tested = tested.unionByName(fresh)
         if last:
-            return links
-    return links
+            break
+    return roots
+
+
+def _named(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shared`` with the component of each class."""
+    d = shared.join(roots, F.col("digest") == F.col("node"), "left").drop("node")
+    return materialise(d.withColumn("comp", F.coalesce("root", "digest")).drop("root"), "named")
+
+
+def _split(named: DataFrame) -> DataFrame:
+    """(k, big, cost) of the buckets in several parts: the largest part, and the pairs at most to be made."""
+    parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("members"))
+    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("members").alias("total"), F.max(F.struct("members", "comp")).alias("most")).where("parts > 1")
+    return whole.select(F.col("bucket").alias("k"), F.col("most.comp").alias("big"), ((F.col("total") - F.col("most.members")) * F.col("total")).alias("cost"))
+
+
+def alike(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that share as many keys as a link does at least; texts of the others needn't be fetched."""
+    ka = keys.select(F.col("digest").alias("da"), F.col("keys").alias("keys_a"))
+    kb = keys.select(F.col("digest").alias("db"), F.col("keys").alias("keys_b"))
+    both = pairs.join(ka, F.col("a") == F.col("da")).join(kb, F.col("b") == F.col("db"))
+    return materialise(both.where(F.size(F.array_intersect("keys_a", "keys_b")) >= LEAST_KEYS).select("a", "b"), "alike")
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = materialise(signatures(docs), "signatures")
-    roots = components(class_links(docs, sigs))
-    lowest = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"))
-    lowest = lowest.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
+    with small_batches(docs.sparkSession):
+        sigs = materialise(signatures(docs), "signatures")
+        classes = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.min("doc_id").alias("low"))
+        classes = materialise(classes.select("digest", "n", "keys", "at.doc_id", "at.text_hash", "low"), "classes")
+        roots = class_roots(docs, classes.drop("low"))
+    lowest = classes.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
     lowest = materialise(lowest, "lowest")
     of_root = materialise(lowest.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r"), "roots")
     of_class = materialise(lowest.join(of_root, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component"), "components")
@@ -240,8 +308,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = groups_of(docs).where("kept")
     once = materialise(kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")).withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"}), "kept")
     th = F.xxhash64(docs["text"])
-    stay = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(once["k_id"]) & (th == once["k_hash"]))
-    single = stay.where("rows = 1 OR n = 0").select(*docs.columns)
+    packed = docs.select(docs["doc_id"].cast("long").alias("id"), th.alias("th"), F.struct("*").alias("row"))
+    stay = packed.join(once, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_hash")))
+    single = stay.where("rows = 1 OR n = 0").select("row.*")
     if once.where("rows > 1 AND n > 0").limit(1).count() == 0:
         return single
-    return single.unionByName(stay.where("rows > 1 AND n > 0").dropDuplicates(["k_id", "k_hash"]).select(*docs.columns))
+    again = stay.where("rows > 1 AND n > 0").groupBy("k_id", "k_hash").agg(F.first("row").alias("row"))
+    return single.unionByName(again.select("row.*"))

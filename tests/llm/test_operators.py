@@ -24,6 +24,10 @@ def test_repeats_equal_brute_force(spark, nasty, nothing, sf):
     for df in (nasty, table(spark, sf, "documents")):
         assert rows(repeats.remove_repeats(df)) == brute.repeats(pairs(df))
     assert repeats.remove_repeats(nothing).collect() == []
+    import hashlib
+
+    digests = sorted((r.doc_id, hashlib.sha256(r.kept).hexdigest(), len(r.spans)) for r in repeats.remaining(nasty.where("doc_id IS NOT NULL")).collect())
+    assert digests == sorted((r.doc_id, r.kept_sha256, r.n_spans) for r in repeats.remove_repeats(nasty.where("doc_id IS NOT NULL")).collect())
 
 
 def test_repeats_with_chunked_cores(spark, monkeypatch):
@@ -106,7 +110,7 @@ def test_pii_many_matches(spark):
 
 def test_pii_disclosing_terms(spark):
     data = [(i, f"{sentence(i, 3)} wizardname wrote boss@corp.example.com {sentence(50 + i, 3)}") for i in range(4)]
-    data += [(10, "the wizardname was here"), (11, "nothing at all here")] + [(20 + i, sentence(90 + i, 20)) for i in range(150)]
+    data += [(10, "the wizardname was here"), (11, "nothing at all here")] + [(20 + i, sentence(90 + i, 20)) for i in range(400)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.report(df).collect()}
     assert got[10] == "term:4:14" and got[11] == "" and "term:" in got[0] and got[0].startswith("email:")
@@ -290,3 +294,29 @@ def test_pipeline(spark, sf):
     groups = {c for i, _, c, _ in brute.near(given)}
     assert {r.doc_id for r in kept.collect()} <= groups
     assert kept.count() == len(groups) - len({r[0] for r in decontaminate.leaks(d, table(spark, sf, "benchmark")).collect()} & groups) - len([1 for i, t in given if i in groups and not any(c.isalpha() for c in t or "")])
+
+
+@pytest.mark.parametrize("in_one_task", [0, 100_000])
+def test_components(spark, monkeypatch, in_one_task):
+    from tessera.llm import components as cc
+
+    monkeypatch.setattr(cc, "IN_ONE_TASK", in_one_task)
+    rng = random.Random(6)
+    name = lambda i: i.to_bytes(2, "big")
+    edges = [(i, i + 1) for i in range(0, 20)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    got = {(bytes(r.node), bytes(r.root)) for r in cc.components(df).collect()}
+    assert got == {(name(x), name(find(x))) for x in root if find(x) != x}
+    assert cc.components(df.where("false")).collect() == []
+    chain = spark.createDataFrame([(name(i), name(i // 2)) for i in range(1, 60)], "node binary, parent binary")
+    assert {(bytes(r.node), bytes(r.root)) for r in cc.forest_roots(chain).collect()} == {(name(i), name(0)) for i in range(1, 60)}
