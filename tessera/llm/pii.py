@@ -37,26 +37,47 @@ SUPPORT, BITS = 3, 5.0
 _BLOCK = 128
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once: an expression repeated inside a lambda would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def prefix_sums(lens: Column) -> Column:
     """Sums of all elements before each, by blocks, so that long arrays don't cost their square."""
     add = lambda a, b: a + b
     zero = F.lit(0)
-    blocks = F.transform(F.sequence(zero, F.floor((F.size(lens) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
 
-    def before(x: Column, i: Column) -> Column:
-        b = F.floor(i / _BLOCK).cast("int")
-        return F.aggregate(F.slice(blocks, F.lit(1), b), zero, add) + F.aggregate(F.slice(lens, b * _BLOCK + 1, i - b * _BLOCK), zero, add)
+    def of(ls: Column, blocks: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            return F.aggregate(F.slice(blocks, F.lit(1), b), zero, add) + F.aggregate(F.slice(ls, b * _BLOCK + 1, i - b * _BLOCK), zero, add)
+
+        return F.transform(ls, before)
+
+    def summed(ls: Column) -> Column:
+        blocks = F.transform(F.sequence(zero, F.floor((F.size(ls) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(ls, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
+        return let(blocks, lambda bs: of(ls, bs))
+
+    return let(lens, summed)
 
-    return F.transform(lens, before)
+
+_SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def found(text: Column, pattern: str) -> Column:
     """All leftmost matches as structs (start, end, value): code points, end exclusive."""
     p = F.lit(pattern)
-    values, pieces = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    gaps = F.transform(values, lambda v, i: F.char_length(F.get(pieces, i)))
-    starts = prefix_sums(F.zip_with(gaps, values, lambda g, v: g + F.char_length(v)))
-    return F.transform(values, lambda v, i: F.struct((F.get(starts, i) + F.get(gaps, i)).alias("start"), (F.get(starts, i) + F.get(gaps, i) + F.char_length(v)).alias("end"), v.alias("value")))
+
+    def place(parts: Column) -> Column:
+        before = prefix_sums(F.transform(parts, lambda q: q["gap"] + q["len"]))
+        return F.zip_with(before, parts, lambda b, q: F.struct((b + q["gap"]).alias("start"), (b + q["gap"] + q["len"]).alias("end"), q["value"].alias("value")))
+
+    def measure(values: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+        parts = F.zip_with(gaps, values, lambda g, v: F.struct(F.char_length(g).alias("gap"), F.char_length(v).alias("len"), v.alias("value")))
+        return F.when(F.size(values) == 0, F.array().cast(_SPANS)).otherwise(let(parts, place).cast(_SPANS))
+
+    return let(F.regexp_extract_all(text, p, F.lit(0)), measure)
 
 
 def _digits(v: Column) -> Column:
@@ -75,12 +96,12 @@ def _luhn(d: Column) -> Column:
 
 
 def _ip_ok(v: Column) -> Column:
-    return F.forall(F.split(v, r"\."), lambda x: F.length(F.ltrim(x, F.lit("0"))).isin(0, 1, 2) | ((F.length(F.ltrim(x, F.lit("0"))) == 3) & (F.ltrim(x, F.lit("0")) <= F.lit("255"))))
+    small = lambda x: (F.length(x) < 3) | ((F.length(x) == 3) & (x <= F.lit("255")))
+    return F.forall(F.split(v, r"\."), lambda x: small(F.ltrim(x, F.lit("0"))))
 
 
 def _card_ok(v: Column) -> Column:
-    d = _digits(v)
-    return F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(F.lit(False))
+    return let(_digits(v), lambda d: F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(F.lit(False)))
 
 
 def _phone_ok(v: Column) -> Column:
@@ -89,14 +110,14 @@ def _phone_ok(v: Column) -> Column:
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with an array of (start, end, value) for each kind, as columns s_email, s_ip, s_card, s_phone, and the text as t."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(_SPANS)
     d = docs.withColumn("t", F.coalesce(F.col("text"), F.lit("")))
     t = F.col("t")
     joined = F.regexp_replace(F.translate(t, "\x01", "\x02"), r"(?<=[0-9])[\x20-](?=[0-9])", "\x01")
     some = {"email": F.contains(t, F.lit("@")), "ip": F.col("has_digit"), "card": F.col("has_digit"), "phone": F.contains(t, F.lit("+")) & F.col("has_digit")}
-    spans = {"email": found(t, EMAIL), "ip": F.filter(found(t, IP), lambda s: _ip_ok(s["value"])), "card": F.filter(found(joined, CARD), lambda s: _card_ok(s["value"])), "phone": F.filter(found(t, PHONE), lambda s: _phone_ok(s["value"]))}
+    spans = {"email": found(t, EMAIL), "ip": F.filter(found(t, IP), lambda s: _ip_ok(s["value"])), "card": let(joined, lambda j: F.filter(found(j, CARD), lambda s: _card_ok(s["value"]))), "phone": F.filter(found(t, PHONE), lambda s: _phone_ok(s["value"]))}
     d = d.withColumn("has_digit", t.rlike("[0-9]"))
-    d = d.withColumns({f"s_{k}": F.when(some[k], spans[k].cast("array<struct<start:int,end:int,value:string>>")).otherwise(none) for k in KINDS})
+    d = d.withColumns({f"s_{k}": F.when(some[k], spans[k]).otherwise(none) for k in KINDS})
     return d.drop("has_digit")
 
 
@@ -121,8 +142,7 @@ def disclosing_terms(spans: DataFrame) -> DataFrame:
     """(term, bits) of the terms that disclose an entity, from ``base_spans`` of the whole corpus."""
     value = lambda k: F.transform(F.col(f"s_{k}"), lambda s: F.struct(F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
     around = F.concat_ws(" ", F.substring(F.col("t"), F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start"))), F.substring(F.col("t"), F.col("s.end") + 1, F.lit(CONTEXT)))
-    holders = spans.where(F.size(F.concat(*[F.col(f"s_{k}") for k in KINDS])) > 0)
-    seen = holders.select("t", F.xxhash64("doc_id", "t").alias("doc"), F.explode(F.concat(*[value(k) for k in KINDS])).alias("s"))
+    seen = spans.select("t", F.xxhash64("doc_id", "t").alias("doc"), F.explode(F.concat(*[value(k) for k in KINDS])).alias("s"))
     seen = seen.select("doc", F.col("s.entity").alias("entity"), F.explode(F.array_distinct(_terms(around))).alias("term"), F.xxhash64(around).alias("context"))
     # a term needs SUPPORT contexts of one entity; the distinct rows keep copies of a passage from counting
     near = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
