@@ -151,11 +151,15 @@ def disclosing_terms(spans: DataFrame) -> DataFrame:
         return near.select("term", F.lit(0.0).alias("bits"))
     n = spans.count()
     both = seen.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    # documents with any value bound a term's documents from below: most terms near a value are out before all texts are read for them
+    holders = spans.where(F.size(F.concat(*[F.col(f"s_{k}") for k in KINDS])) > 0)
+    held = holders.select(F.explode(F.array_distinct(_terms(F.col("t")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    near = materialise(near.join(both, ["entity", "term"]).join(held, "term").where(2 * F.col("n_both") >= F.col("n_held")), "near")
     entity = seen.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = near.select(F.col("term").alias("w")).distinct()
     words = spans.select(F.explode(F.array_distinct(_terms(F.col("t")))).alias("term"))
     with_term = words.join(wanted, F.col("term") == F.col("w"), "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    d = near.join(both, ["entity", "term"]).join(entity, "entity").join(with_term, "term")
+    d = near.join(entity, "entity").join(with_term, "term")
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     bits = F.log2(share / F.least(F.lit(1.0), F.col("n_entity") / F.lit(float(n))))
     return materialise(d.where((share >= 0.5) & (bits >= BITS)).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
