@@ -327,6 +327,24 @@ def _with_spans(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return keyed.join(lists, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")), "left"), docs.columns
 
 
+def remaining(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans, kept) of every row: the removed runs (a, b), and the bytes that stay, which needn't be whole characters."""
+    d, _ = _with_spans(docs.select("doc_id", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, kept = [], []
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py() or b""
+                found = merge([(s["a"], s["b"]) for s in batch.column(2)[i].as_py() or []])
+                runs.append([{"a": a, "b": b} for a, b in found])
+                kept.append(b"".join(text[x:y] for x, y in zip([0, *[b for _, b in found]], [*[a for a, _ in found], len(text)], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
+
+    ready = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "spans")
+    return ready.mapInArrow(run, "doc_id long, spans array<struct<a:long,b:long>>, kept binary")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
     d, _ = _with_spans(docs.select("doc_id", "text"))
