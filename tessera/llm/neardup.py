@@ -14,7 +14,8 @@ probability 1e-6. Of the rest, those that share a band are candidates. First
 each meets one of them, the one whose signature is the most shared (the centre of
 its family). Then every class meets all those of its buckets that are not in its
 component yet, if their sets can reach the threshold: of a set only shingles that
-another class has can be common, and these are counted exactly. (While that is
+another class has can be common, and these are counted exactly; and a longer
+sketch of the few classes left must not differ by more than a link's does. (While that is
 too many pairs, members of divided buckets meet further hubs.) So no link can be
 missed for being in a large bucket, and within a component no further pairs are
 made. With 32 bands of 4 a link at the threshold shares no band with probability
@@ -31,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ PERCENT = 75
 PLACES, BANDS = 128, 32
 #: Keys of a signature, each of two places, and how many of them a link shares at least (see above).
 KEYS, LEAST_KEYS = 64, 17
+#: Bits of a longer sketch, one a place, for pairs across components; of a link's at the threshold 128 differ on average, more than this with probability 1e-6.
+SKETCH, DIFFERENT = 1024, 181
 #: Cross-component pairs per class beyond which another round of hubs comes before the pairs.
 PAIRS_PER_CLASS = 20
 MOST_ROUNDS = 2
@@ -74,7 +79,7 @@ def super_minhash(row: np.ndarray, value: np.ndarray, n_rows: int, places: int =
         else:
             n = np.arange(len(live))
             if order is None:
-                order = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.int32), (len(live), 1))
+                order = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.int16), (len(live), 1))
                 for i, q in enumerate(jumps):
                     held = order[n, q].copy()
                     order[n, q] = order[:, i]
@@ -209,12 +214,11 @@ def common_shingles(texts: DataFrame) -> DataFrame:
 def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the ``classes`` that are not the root of their component of the similarity graph."""
     live = materialise(likely(classes), "live")
-    rows = live.select(F.explode(_bands("keys")).alias("bucket"), "digest", "n", "centre")
+    rows = live.select(F.posexplode(_bands("keys")).alias("band", "bucket"), "digest", "n", "centre")
     hubs = rows.groupBy("bucket").agg(F.max(F.struct("centre", "digest")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = materialise(hubs.select(F.col("bucket").alias("k"), "hub"), "hubs")
-    shared = materialise(rows.join(hubs, F.col("bucket") == F.col("k")).select("bucket", "digest", "n", "hub"), "buckets")
+    shared = materialise(rows.join(hubs, F.col("bucket") == F.col("k")).select("bucket", "band", "digest", "n", "hub"), "buckets")
     texts = materialise(_texts(docs, live), "texts")
-    keys = live.select("digest", "keys")
 
     # hubs come later in the order of (centre, digest) than their members: a forest
     first = shared.where("digest <> hub.digest").groupBy("digest").agg(F.max("hub").alias("hub"))
@@ -226,7 +230,12 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return roots
     counts = common_shingles(texts)
     can = shared.join(counts, F.xxhash64("digest") == F.col("cc")).where(100 * F.col("common") >= PERCENT * F.col("n"))
-    shared = materialise(can.select("bucket", "digest", "n", "common"), "buckets")
+    shared = materialise(can.select("bucket", "band", "digest", "n", "common"), "buckets")
+    # 32 bits of every bucket's name; a pair is made in the first bucket it shares only
+    marks = live.select(F.col("digest").alias("md"), F.transform(_bands("keys"), lambda b: F.hash(b)).alias("marks"))
+    able = can.select(F.col("digest").alias("x")).distinct()
+    bits = sketches(texts.join(able, F.col("digest") == F.col("x"), "left_semi"))
+    names = [c for c in bits.columns if c != "sd"]
     n_classes = live.count()
     for turn in range(MOST_ROUNDS + 1):
         named = _named(shared, roots)
@@ -235,24 +244,28 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if not cost:
             return roots
         open_rows = named.join(split.select("k", "big"), F.col("bucket") == F.col("k")).drop("k")
+        open_rows = open_rows.join(marks, F.col("digest") == F.col("md")).join(bits, F.col("digest") == F.col("sd")).drop("md", "sd")
+        open_rows = materialise(open_rows, "open")
         last = turn == MOST_ROUNDS or cost <= PAIRS_PER_CLASS * n_classes
         if last:
             side = open_rows.where("comp <> big")
         else:
             # buckets in several parts, some large: their members meet a new hub of the bucket first
             order = F.xxhash64("digest", "bucket", F.lit(turn))
-            side = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "digest", "n", "common", "comp")).alias("h")).select("bucket", "h.digest", "h.n", "h.common", "h.comp")
-        side = materialise(side.select(F.col("bucket").alias("k"), F.col("digest").alias("d"), F.col("n").alias("m"), F.col("common").alias("f"), F.col("comp").alias("c")), "side")
+            side = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "digest", "n", "common", "comp", "marks", *names)).alias("h")).select("bucket", "h.*")
+        side = materialise(side.select(F.col("bucket").alias("k"), F.col("digest").alias("d"), F.col("n").alias("m"), F.col("common").alias("f"), F.col("comp").alias("c"), F.col("marks").alias("w"), *[F.col(c).alias(f"o{c}") for c in names]), "side")
         apart = (F.col("comp") != F.col("c")) & _may_link("n", "m")
         # what both have is at most what either has in common with any
         apart &= (100 + PERCENT) * F.least("common", "f") >= PERCENT * (F.col("n") + F.col("m"))
+        apart &= reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in names]) <= DIFFERENT
         if last:
+            apart &= ~F.arrays_overlap(F.slice("marks", F.lit(1), F.col("band")), F.slice("w", F.lit(1), F.col("band")))
             apart &= (F.col("comp") == F.col("big")) | (F.col("digest") > F.col("d"))
         pairs = open_rows.join(side, (F.col("bucket") == F.col("k")) & apart)
         pairs = pairs.select(F.greatest("digest", "d").alias("a"), F.least("digest", "d").alias("b")).distinct()
         done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
         fresh = materialise(pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
-        roots = merged(roots, confirm(alike(fresh, keys), texts))
+        roots = merged(roots, confirm(fresh, texts))
         tested = tested.unionByName(fresh)
         if last:
             break
@@ -272,12 +285,21 @@ def _split(named: DataFrame) -> DataFrame:
     return whole.select(F.col("bucket").alias("k"), F.col("most.comp").alias("big"), ((F.col("total") - F.col("most.members")) * F.col("total")).alias("cost"))
 
 
-def alike(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) that share as many keys as a link does at least; texts of the others needn't be fetched."""
-    ka = keys.select(F.col("digest").alias("da"), F.col("keys").alias("keys_a"))
-    kb = keys.select(F.col("digest").alias("db"), F.col("keys").alias("keys_b"))
-    both = pairs.join(ka, F.col("a") == F.col("da")).join(kb, F.col("b") == F.col("db"))
-    return materialise(both.where(F.size(F.array_intersect("keys_a", "keys_b")) >= LEAST_KEYS).select("a", "b"), "alike")
+def sketches(texts: DataFrame) -> DataFrame:
+    """(sd, s0, s1, ...): of each class of ``texts`` (digest, text) one bit of each place of a long signature, 64 to a column."""
+    words = SKETCH // 64
+    names = [f"s{i}" for i in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, row, value in _sets(batch.column(1), 1 << 16):
+                sig = super_minhash(row, value, n, SKETCH)
+                bits = (mix(sig.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+                packed = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(words)]], ["sd", *names])
+
+    out = texts.mapInArrow(run, "sd binary, " + ", ".join(f"{c} long" for c in names))
+    return materialise(out.groupBy("sd").agg(*[F.first(c).alias(c) for c in names]), "sketches")
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
