@@ -25,7 +25,7 @@ def miner(x: Column, identity: float | None = None) -> Column:
 
 
 def clamp32(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(INT32[0])), F.lit(INT32[1])).cast("long")
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(INT32[0])), F.lit(INT32[1]))).cast("long")
 
 
 def truncated_average(x: Column) -> Column:

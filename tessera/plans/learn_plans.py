@@ -140,8 +140,8 @@ def log_range(spark, d):
 
 
 def snapshot_throttle(spark, d):
-    li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber"), "l_orderkey", F.floor("l_quantity").cast("long").alias("bytes"))
-    t = folds.throttle(li.withColumn("o", F.struct("l_orderkey")), ["l_suppkey"], "l_linenumber", "o", "bytes", 500)
+    li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber"), "l_orderkey", "l_partkey", "l_extendedprice", F.floor("l_quantity").cast("long").alias("bytes"))
+    t = folds.throttle(li.withColumn("o", F.struct("l_orderkey", "l_partkey", "l_extendedprice")), ["l_suppkey"], "l_linenumber", "o", "bytes", 500)
     return t.select("l_suppkey", "l_linenumber", "l_orderkey", F.col("granted").cast("long").alias("granted"))
 
 
@@ -227,6 +227,6 @@ ORACLES = {
     "quorum_commit": "SELECT grp, l[CAST(floor(len(l) / 2) AS INTEGER) + 1] AS committed FROM (SELECT grp, list(m ORDER BY m DESC) AS l FROM (SELECT l_suppkey % 11 AS grp, CAST(sum(l_linenumber) AS BIGINT) AS m FROM lineitem GROUP BY grp, l_suppkey) GROUP BY grp)",
     "log_conflicts": "SELECT log_index, term FROM (SELECT *, max(term) OVER (ORDER BY log_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT event_id % 997 AS log_index, max(user_id) AS term FROM events GROUP BY 1)) WHERE b IS NULL OR term >= b",
     "log_range": "SELECT event_id AS log_index, event_type FROM events WHERE event_id BETWEEN 100 AND 199",
-    "snapshot_throttle": "SELECT l_suppkey, l_linenumber, l_orderkey, CAST(greatest(0, least(q, 500 - coalesce(b, 0))) AS BIGINT) AS granted FROM (SELECT *, sum(q) OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT l_suppkey, l_linenumber, l_orderkey, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem))",
+    "snapshot_throttle": "SELECT l_suppkey, l_linenumber, l_orderkey, CAST(greatest(0, least(q, 500 - coalesce(b, 0))) AS BIGINT) AS granted FROM (SELECT *, sum(q) OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT l_suppkey, l_linenumber, l_orderkey, l_partkey, l_extendedprice, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem))",
     "config_diff": "SELECT s_nationkey, count(*) FILTER (WHERE s_suppkey % 2 <> 0 AND s_suppkey % 3 = 0) AS n_added, count(*) FILTER (WHERE s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0) AS n_removed FROM supplier GROUP BY 1 HAVING count(*) FILTER (WHERE s_suppkey % 3 <> 0) > 0 AND count(*) FILTER (WHERE s_suppkey % 2 <> 0) > 0",
 }

@@ -117,7 +117,7 @@ def filter_bits(spark, d):
 
 def exclude_tried(spark, d):
     s = table(spark, d, "supplier")
-    tried = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    tried = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49 AND l_linenumber = 3").select(F.col("l_suppkey").alias("s_suppkey"))
     return s.join(tried.distinct(), "s_suppkey", "left_anti").select("s_suppkey")
 
 
@@ -233,7 +233,7 @@ ORACLES = {
     "filter_white_black": "SELECT p_partkey, p_brand FROM part WHERE NOT (p_brand LIKE 'Brand#1%' OR regexp_full_match(p_brand, 'Brand#3.'))",
     "filter_glob": "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#.?2.?') OR p_name LIKE '%10'",
     "filter_bits": "SELECT p_partkey, p_size FROM part WHERE (p_size & 12) <> 0",
-    "exclude_tried": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)",
+    "exclude_tried": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_linenumber = 3)",
     "ring_lookup_md5": f"WITH {_REQ}, {_RING.format('SELECT s, ' + _WORD.format(1) + ' AS p FROM (' + _NODES.format(100) + ')')} {_LOOK}",
     "ring_lookup_ketama": f"WITH {_REQ}, {_RING.format(' UNION ALL '.join('SELECT s, ' + _WORD.format(1 + 8 * k) + ' AS p FROM (' + _NODES.format(25) + ')' for k in range(4)))} {_LOOK}",
     "wrr_assign": "SELECT n_nationkey AS server, CAST((n_regionkey + 1) * 4 AS BIGINT) AS n FROM nation",
