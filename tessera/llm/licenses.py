@@ -28,7 +28,8 @@ LICENSES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("judgement", "judgment"), ("https", "http"), ("noncommercial", "non commercial"))
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|©|\(c\))[^\n]*$"
+#: A notice has a year; a line of a licence that only begins with the word stays.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|©|\(c\))[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
