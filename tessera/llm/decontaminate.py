@@ -14,7 +14,10 @@ bit-parallel edit distance against all passages of their region.
 
 Only windows that can match are embedded: within e edits of L words at least
 L - 1 - 2 e of the item's word pairs survive, so a window with fewer pairs of
-items of that length is out. This loses nothing.
+items of that length is out. An edit takes two pairs at most, so the item's first
+word stands at most 2 e words before the first pair that survives: windows start
+at all of these places, before the row's first word too (the end mark fills them).
+This loses nothing.
 
 Items go out in blocks of ``ITEM_BLOCK``, each against all documents. Nulls, ties
 and clashes: null or wordless texts have no leaks; items that are null or have
@@ -146,8 +149,8 @@ class Items:
                 keys.append((k[order], np.array(members)[order]))
             self.tables[length] = keys
 
-    def _starts(self, w: Words) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, window starts) of a block that can match an item of that length."""
+    def _starts(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, window starts, their rows) of a block that can match an item of that length; a start may lie before its row."""
         h, n = w.hash, len(w.hash)
         if n < LEAST_WORDS:
             return
@@ -171,12 +174,14 @@ class Items:
             near = mine[np.searchsorted(mine, ends) - np.arange(len(mine)) >= length - 1 - 2 * e]
             if not len(near):
                 continue
-            back = min(e, 3)
-            starts = np.unique(np.concatenate([near - j for j in range(back + 1)]))
-            starts = starts[starts >= 0]
-            starts = starts[w.row[starts] == w.row[np.minimum(starts + back, n - 1)]]
-            if len(starts):
-                yield length, starts
+            # each place up to 2 e words back once a row; a passage in the row lacks e words in front at most
+            row = w.row[near]
+            reps = np.full(len(near), 2 * e + 1)
+            reps[1:] = np.where(row[1:] == row[:-1], np.minimum(reps[1:], np.diff(near)), reps[1:])
+            starts = np.repeat(near, reps) - (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+            row = np.repeat(row, reps)
+            held = starts >= w.first[row] - e
+            yield length, starts[held], row[held]
 
     def find(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, edits) for every leak into the texts of a column, the least edits of each.
@@ -187,12 +192,12 @@ class Items:
         windows: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for first, data, offs, _ in text_blocks(column):
             w = Words(data, offs, NOT_ALNUM)
-            for length, starts in self._starts(w):
-                # a window that runs over its row's end shows the end mark there
+            for length, starts, row in self._starts(w):
+                # a window that runs over its row's ends shows the end mark there
                 index = starts[:, None] + np.arange(length)
-                inside = index < w.first[w.row[starts] + 1][:, None]
-                window = np.where(inside, w.hash[np.minimum(index, len(w.hash) - 1)], np.uint64(0))
-                windows[length].append((len(blocks), starts, w.row[starts], window))
+                inside = (index >= w.first[row][:, None]) & (index < w.first[row + 1][:, None])
+                window = np.where(inside, w.hash[np.clip(index, 0, len(w.hash) - 1)], np.uint64(0))
+                windows[length].append((len(blocks), starts, row, window))
             blocks.append((first, w.hash, w.first))
         wanted: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         for length, parts in windows.items():

@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import nasty_rows, sentence  # noqa: F401  (tests/llm/conftest.py)
 
@@ -155,6 +156,27 @@ def test_decontamination_recall_at_the_threshold(spark, nasty, nothing):
     assert decontaminate.leaks(nasty, b.where("false")).collect() == [] and decontaminate.leaks(nothing, b).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["dropped", "replaced", "every other word"])
+@pytest.mark.parametrize("length", [40, 60, 100, 200])
+@pytest.mark.parametrize("led", [False, True])
+def test_decontamination_of_passages_edited_in_front(length, kind, led):
+    """All of the e edits in front; the passage at the row's start or after other words."""
+    texts = [sentence(5000 + 7 * i, length) for i in range(60)]
+    e = decontaminate.max_edits(length)
+    docs = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        if kind == "dropped":
+            w = w[e:]
+        elif kind == "replaced":
+            w[:e] = [f"new{i}x{k}" for k in range(e)]
+        else:
+            w[1 : 2 * e : 2] = [f"new{i}x{k}" for k in range(e)]
+        docs.append((sentence(9000 + i, 30) + " " if led else "") + " ".join(w) + " " + sentence(7000 + i, 20))
+    got = {(r, i) for r, i, _ in decontaminate.Items(list(enumerate(texts))).find(pa.array(docs))}
+    assert len({(i, i) for i in range(60)} & got) == 60
+
+
 def test_least_distance():
     rng = random.Random(2)
     for _ in range(200):
