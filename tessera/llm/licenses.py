@@ -2,7 +2,9 @@
 
 Whole texts are brought to a canonical form (lower case, copyright lines out,
 punctuation and white space to single spaces, equivalent spellings to one) and
-their digests hash-joined to those of known licences in the same form.
+their digests hash-joined to those of known licences in the same form. ``digest``
+is that of this form; a licence is also found by the digest of a wider form that
+leaves out notices without a year and lines of rights reserved too.
 
 Nulls, ties and clashes: a null or blank text has a null digest and no licence;
 two licences with one canonical form give the first id in order; repeated rows
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.license_texts import MORE_LICENSES
+
 # Public licence texts and notices, and spellings that licence matching holds equal.
 LICENSES = {
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -30,28 +34,46 @@ LICENSES = {
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("judgement", "judgment"), ("https", "http"), ("noncommercial", "non commercial"))
 #: A notice has a year; a line of a licence that only begins with the word stays.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|©|\(c\))[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}[^\n]*$"
+#: The wider rule: any notice with the word or the sign, but not a wrapped licence line (told by what follows the word)
+#: nor a list item (c), which counts with a year next to it or at the line's end; and lines of rights reserved alone.
+NOTICE_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright(?![\p{L}\p{N}])(?![ \t\r]*$)(?![ \t]*[,;/])"
+    r"(?![ \t]+(?:holders?|notices?|laws?|owners?|owned|and|or|licen[cs]es?|licen[cs]ed|statements?|disclaimers?|permissions?|interests?|protection|treaty|treaties|acts?|rights?|is|are|in|of|on|to|for|as|that|which|may|shall|will|does|under|with|infringements?)(?![\p{L}\p{N}]))"
+    r"[^\n]*|©[^\n]*|\(c\)[ \t]*(?:©[ \t]*|copyright[ \t]*)?[0-9]{4}[^\n]*|\(c\)[^\n]*[^\p{L}\p{N}\n][0-9]{4}[^\p{L}\p{N}\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+def _words(t: Column) -> Column:
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, NOT_WORD, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
+def canonical(text: Column) -> Column:
+    return _words(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "))
+
+
+def wider(text: Column) -> Column:
+    return _words(F.regexp_replace(F.lower(text), NOTICE_LINE, " "))
+
+
 def known_digests(spark) -> DataFrame:
-    rows = spark.createDataFrame(sorted(LICENSES.items()), "license_id string, body string")
-    return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
+    rows = spark.createDataFrame(sorted((LICENSES | MORE_LICENSES).items()), "license_id string, body string")
+    forms = F.explode(F.array_distinct(F.array(canonical(F.col("body")), wider(F.col("body")))))
+    return rows.select("license_id", forms.alias("form")).groupBy(F.sha2("form", 256).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, license_id) of every document; the broadcast side is the table of known licences, fixed above."""
-    form = F.nullif(canonical(F.col("text")), F.lit(""))
-    d = docs.select("doc_id", F.sha2(form, 256).alias("digest"))
-    known = F.broadcast(known_digests(docs.sparkSession))
-    return d.join(known, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license_id")
+    of = lambda form: F.sha2(F.nullif(form, F.lit("")), 256)
+    d = docs.select("doc_id", of(canonical(F.col("text"))).alias("digest"), of(wider(F.col("text"))).alias("wider_digest"))
+    known = known_digests(docs.sparkSession)
+    first = F.broadcast(known.toDF("digest_1", "license_1"))
+    second = F.broadcast(known.toDF("digest_2", "license_2"))
+    found = d.join(first, F.col("digest") == F.col("digest_1"), "left").join(second, F.col("wider_digest") == F.col("digest_2"), "left")
+    return found.select("doc_id", "digest", F.coalesce("license_1", "license_2").alias("license_id"))
 
 
 def oracle() -> str:

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter
 
 import brute
@@ -296,6 +297,17 @@ def test_licenses(spark, nasty, nothing):
     assert licenses.scan(nasty).count() == nasty.count() and licenses.scan(nothing).collect() == []
 
 
+def test_licenses_with_ordinary_notices(spark):
+    heads = "Copyright (c) Microsoft Corporation.|Copyright The Foo Authors|Copyright (c) [year] [name]|Copyright Jane Doe 2020|© Jane Doe|(c) Jane Doe 2020|Copyright: Foo Ltd|Copyright (c) 2020 A\nAll rights reserved.".split("|")
+    texts = licenses.LICENSES | licenses.MORE_LICENSES
+    cases = [(h + "\n\n" + t, k) for k, t in texts.items() for h in heads]
+    # no wrapping of a licence may look like a notice
+    cases += [("Copyright The Foo Authors\n\n" + textwrap.fill(" ".join(t.split()), n, break_long_words=False, break_on_hyphens=False), k) for k, t in texts.items() if "[yyyy]" not in t for n in range(30, 110)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(df).collect()}
+    assert [(cases[i][1], cases[i][0][:300]) for i in got if got[i] != cases[i][1]] == []
+
+
 def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
 
