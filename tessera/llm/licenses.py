@@ -4,7 +4,8 @@ Whole texts are brought to a canonical form (lower case, copyright lines out,
 punctuation and white space to single spaces, equivalent spellings to one) and
 their digests hash-joined to those of known licences in the same form. ``digest``
 is that of this form; a licence is also found by the digest of a wider form that
-leaves out notices without a year and lines of rights reserved too.
+leaves out notices without a year and lines of rights reserved too. ``notices``
+finds known licences and notices inside longer texts.
 
 Nulls, ties and clashes: a null or blank text has a null digest and no licence;
 two licences with one canonical form give the first id in order; repeated rows
@@ -76,6 +77,30 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "digest", F.coalesce("license_1", "license_2").alias("license_id"))
 
 
+def notices(docs: DataFrame) -> DataFrame:
+    """(doc_id, license_id) for each known licence or notice that stands anywhere in a document, in whole words.
+
+    Longer ones go first and are taken out, so the first words of one don't count as another. Lines of copyright are
+    read both ways: left out, as they may stand inside a licence, and kept, as they may hold a notice.
+    """
+    rows = docs.sparkSession.createDataFrame(sorted((LICENSES | MORE_LICENSES).items()), "license_id string, body string")
+    known = rows.select("license_id", F.explode(F.array_distinct(F.array(wider(F.col("body")), _words(F.lower("body"))))).alias("form")).collect()
+    known.sort(key=lambda r: (-len(r["form"]), r["license_id"]))
+    table = F.array(*[F.struct(F.lit(r["license_id"]).alias("id"), F.lit(f" {r['form']} ").alias("form")) for r in known])
+    both = F.concat(F.lit(" "), wider(F.col("text")), F.lit(" | "), _words(F.lower("text")), F.lit(" "))
+    start = F.struct(both.alias("rest"), F.array().cast("array<string>").alias("ids"))
+    out = F.lit(" | ")
+
+    def take(a: Column, k: Column) -> Column:
+        # twice, as neighbours share a space
+        rest = F.replace(F.replace(a["rest"], k["form"], out), k["form"], out)
+        return F.when(F.contains(a["rest"], k["form"]), F.struct(rest.alias("rest"), F.array_append(a["ids"], k["id"]).alias("ids"))).otherwise(a)
+
+    ids = F.aggregate(table, start, take, lambda a: F.array_distinct(a["ids"]))
+    # the outer form, as else the optimiser evaluates the array again to filter by its size
+    return docs.where("text IS NOT NULL").select("doc_id", F.explode_outer(ids).alias("license_id")).where("license_id IS NOT NULL")
+
+
 def oracle() -> str:
     def form(x: str) -> str:
         t = f"concat(' ', trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g')), ' ')"

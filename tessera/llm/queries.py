@@ -37,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op5_exact_topk": _on("embeddings", "topk", "top_k"),
         "op6_pii": _on("documents", "pii", "report"),
         "op7_license_scan": _on("documents", "licenses", "scan"),
+        "op7_license_notices": _on("documents", "licenses", "notices"),
         "op8_source_mixing": _on("documents", "mixing", "mix_report"),
         "op9_main_text": _on("pages", "maintext", "extract"),
         "op10_near_duplicates": _on("documents", "neardup", "groups"),

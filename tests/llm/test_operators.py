@@ -308,6 +308,19 @@ def test_licenses_with_ordinary_notices(spark):
     assert [(cases[i][1], cases[i][0][:300]) for i in got if got[i] != cases[i][1]] == []
 
 
+def test_license_notices(spark, sf, nasty, nothing):
+    mit, head = licenses.LICENSES["MIT"], licenses.LICENSES["Apache-2.0-header"]
+    line = "Licensed under CC BY-NC 4.0."
+    data = [(1, f"some words\n{line}\nmore words"), (2, "a\n\n" + mit.replace("\n\n", "\n\nCopyright (c) Foo\n\n") + "\n\nb"), (3, f"x {head} {head} y"), (4, f"Copyright 2020 A. {line}"), (5, "Licensed under CC BY"), (None, line), (None, line), (6, None)]
+    got = rows(licenses.notices(spark.createDataFrame(data, "doc_id long, text string")))
+    assert got == sorted([(1, "CC-BY-NC-4.0-line"), (2, "MIT"), (3, "Apache-2.0-header"), (4, "CC-BY-NC-4.0-line"), (None, "CC-BY-NC-4.0-line"), (None, "CC-BY-NC-4.0-line")], key=str)
+    assert licenses.notices(nothing).collect() == []
+    docs = table(spark, sf, "documents")
+    known = {" ".join(re.findall(r"[^\W_]+", v.lower())): k for k, v in licenses.LICENSES.items()}
+    want = {(r.doc_id, known[f]) for r in docs.collect() for x in (r.text or "").split("\n") if (f := " ".join(re.findall(r"[^\W_]+", x.lower()))) in known}
+    assert want and want <= {tuple(r) for r in licenses.notices(docs).collect()}
+
+
 def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
 
