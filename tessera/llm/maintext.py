@@ -3,14 +3,13 @@
 A page streams through the standard library's parser. Its events become lines,
 one per block element, each with its text, its tags and the elements around it.
 The ratio of text to tags per line is smoothed with a Gaussian and split by a
-two-means threshold; the lines above it are the content clusters. The element
-that holds most of that content (an article or main element if there is one) is
-the region, and its lines, without those inside menus, forms and the like, are
-the text.
+two-means threshold; the lines above it are the content clusters. The article and
+main elements together, if they hold the bulk of that content, or else the smallest
+element around all of it are the region, and its lines, without those inside menus,
+forms and the like, are the text.
 
 Nulls, ties and clashes: null or empty html gives an empty text; a page without
-content lines too; equal regions go to the first in page order; repeated rows
-come back each; page_id and url are carried and may be null; extra columns are
+content lines too; repeated rows come back each; page_id and url are carried and may be null; extra columns are
 ignored; an empty table gives no rows. Length isn't bounded: work and memory go
 with the page.
 """
@@ -36,6 +35,8 @@ MAIN = frozenset(("article", "main"))
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar sidenav menu navbar nav navigation breadcrumb breadcrumbs toolbar pagination pager comment comments commentlist reply replies respond disqus discussion social share sharing related recommended recommendations footer masthead toc skip search searchbox complementary contentinfo".split()
 )
+#: Least share of the content that article and main elements hold if they are the region.
+BULK = 0.8
 _NAME = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 #: Elements that a start tag of these closes, as HTML has it.
@@ -141,33 +142,35 @@ def main_text(html: str | None) -> str:
     p.close()
     p.flush()
     lines = p.lines
-    if not any(not x[3] for x in lines):
+    seen = [not x[3] for x in lines]
+    if not any(seen):
         return ""
     ratio = smooth(np.array([len(t) / max(1, n) for t, n, _, _ in lines]))
     cut = threshold(ratio)
-    content = [i for i, x in enumerate(lines) if ratio[i] >= cut and not x[3]]
+    content = [i for i in range(len(lines)) if ratio[i] >= cut and seen[i]] or [i for i in range(len(lines)) if seen[i]]
     if not content:
-        content = [i for i, x in enumerate(lines) if not x[3]]
-    weight: dict[int, int] = {}
+        return ""
+    weight = _weights(p, content)
+    # the outermost article and main elements; of nested ones that hold as much the inner
+    named: dict[int, int] = {}
     for i in content:
-        for e in lines[i][2]:
-            weight[e] = weight.get(e, 0) + len(lines[i][0])
-    whole = weight[0]
-    named = [e for e in weight if p.names[e] in MAIN]
-    if named:
-        most = max(weight[e] for e in named)
-        equal = sorted(e for e in named if weight[e] == most)
-        # the first of them in page order; of nested ones that hold as much the inner
-        region = equal[0]
-        for e in equal[1:]:
-            if any(e in path and region in path for _, _, path, _ in lines):
-                region = e
+        path = [e for e in lines[i][2] if p.names[e] in MAIN]
+        if path:
+            named[path[0]] = max(named.get(path[0], 0), *[e for e in path if weight[e] == weight[path[0]]])
+    if named and sum(weight[e] for e in named) >= BULK * weight[0]:
+        region = set(named.values())
     else:
-        region = 0
-        for e in sorted(weight):
-            if weight[e] >= 0.8 * whole and p.names[e] in ("body", "div", "section", "td", "#page", "html"):
-                region = e
-    return "\n".join(t for t, _, path, hidden in lines if not hidden and region in path)
+        region = {max(e for e in weight if weight[e] == weight[0] and p.names[e] in ("body", "div", "section", "td", "#page", "html"))}
+    return "\n".join(x[0] for s, x in zip(seen, lines, strict=True) if s and not region.isdisjoint(x[2]))
+
+
+def _weights(p: _Lines, some: list[int]) -> dict[int, int]:
+    """Characters of these lines in each element."""
+    weight: dict[int, int] = {0: 0}
+    for i in some:
+        for e in p.lines[i][2]:
+            weight[e] = weight.get(e, 0) + len(p.lines[i][0])
+    return weight
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -281,6 +281,21 @@ def test_main_text():
     assert maintext.main_text("just words") == "just words"
 
 
+def prose(seed, n=25):
+    return " ".join(sentence(seed, n).split())
+
+
+def test_main_text_keeps_all_content():
+    a, b, c, d = (prose(i) for i in range(4))
+    both = f"<body><div class=menu><a>x</a> <a>y</a></div><div id=page><div><h1>T</h1><p>{a}</p></div><div><p>{b}</p><p>{c}</p><p>{d}</p><p>{a}</p><p>{b}</p></div></div><div class=ad>buy</div></body>"
+    assert maintext.main_text(both) == "\n".join(["T", a, b, c, d, a, b])
+    low = "<ul class=menu>" + "<li><a href=x>x</a>" * 8 + "</ul>"
+    cards = f"<body>{low}<div><p>{a}</p><p>{b}</p><p>{c}</p></div><article><p>{d}</p></article><article><p>{a}</p></article>{low}</body>"
+    assert maintext.main_text(cards) == "\n".join([a, b, c, d, a])
+    split = f"<body><div><article><p>{a}</p></article><article><p>{b}</p><p>{c}</p></article></div><footer>f</footer></body>"
+    assert maintext.main_text(split) == "\n".join([a, b, c])
+
+
 def test_main_text_table(spark):
     p = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<article>é</article>", "x"), (None, "u", "", "y")], "page_id long, url string, html string, text string")
     got = rows(maintext.extract(p))
