@@ -8,6 +8,10 @@ main elements together, if they hold the bulk of that content, or else the small
 element around all of it are the region, and its lines, without those inside menus,
 forms and the like, are the text.
 
+Names of class, id and role only weigh against an element: what holds the largest
+article or main element, or most of the content of a page without one, stays; so do
+headings and paragraphs; and words that articles use too don't hide content lines.
+
 Nulls, ties and clashes: null or empty html gives an empty text; a page without
 content lines too; repeated rows come back each; page_id and url are carried and may be null; extra columns are
 ignored; an empty table gives no rows. Length isn't bounded: work and memory go
@@ -35,6 +39,12 @@ MAIN = frozenset(("article", "main"))
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar sidenav menu navbar nav navigation breadcrumb breadcrumbs toolbar pagination pager comment comments commentlist reply replies respond disqus discussion social share sharing related recommended recommendations footer masthead toc skip search searchbox complementary contentinfo".split()
 )
+#: Those of them that sections of an article are called by too: they hide lines outside the content clusters only.
+AMBIGUOUS = frozenset("alert banner discussion notice notices promotion recommendations recommended related replies reply respond response search share sharing skip social subscription toc".split())
+#: Elements of prose, in which any of the words is as weak; and those that names never hide.
+PROSE, KEPT = frozenset("section dl table blockquote figure".split()), frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
+#: A name that begins so tells of another element, as has-sidebar.
+_OTHER = re.compile(r"(?:has|no|with|without)[-_]")
 #: Least share of the content that article and main elements hold if they are the region.
 BULK = 0.8
 _NAME = re.compile(r"[a-z]+")
@@ -53,6 +63,8 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.names: list[str] = ["#page"]
         self.open: list[tuple[str, int, bool]] = [("#page", 0, False)]
+        #: by element: False if its names are furniture where it holds no content line, True if they are anyhow
+        self.furniture: dict[int, bool] = {}
         self.text: list[str] = []
         self.tags = 0
 
@@ -81,13 +93,16 @@ class _Lines(HTMLParser):
         hidden = self.open[-1][2] or tag in NEVER
         if tag == "header":
             hidden = hidden or not any(x[0] in MAIN for x in self.open)
+        words: set[str] = set()
         if not hidden and tag not in ("html", "body", *MAIN):
             for name, value in attrs:
                 if value and name in ("class", "id", "role"):
-                    hidden = hidden or not FURNITURE.isdisjoint(_NAME.findall(value.lower()))
+                    words.update(w for x in value.lower().split() if not _OTHER.match(x) for w in _NAME.findall(x) if w in FURNITURE)
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     hidden = True
         self.names.append(tag)
+        if words and tag not in KEPT:
+            self.furniture[len(self.names) - 1] = tag not in PROSE and not words <= AMBIGUOUS
         self.open.append((tag, len(self.names) - 1, hidden))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,8 +160,11 @@ def main_text(html: str | None) -> str:
     seen = [not x[3] for x in lines]
     if not any(seen):
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _, _ in lines]))
+    own = np.array([len(t) / max(1, n) for t, n, _, _ in lines])
+    ratio = smooth(own)
     cut = threshold(ratio)
+    for e in _furniture(p, seen, (ratio >= cut) & (own >= cut), ratio >= cut):
+        seen = [s and e not in x[2] for s, x in zip(seen, lines, strict=True)]
     content = [i for i in range(len(lines)) if ratio[i] >= cut and seen[i]] or [i for i in range(len(lines)) if seen[i]]
     if not content:
         return ""
@@ -173,6 +191,21 @@ def _weights(p: _Lines, some: list[int]) -> dict[int, int]:
     return weight
 
 
+def _furniture(p: _Lines, seen: list[bool], dense: np.ndarray, content: np.ndarray) -> list[int]:
+    """The elements that their names hide."""
+    if not p.furniture:
+        return []
+    weight = _weights(p, [i for i in range(len(seen)) if seen[i] and content[i]])
+    held = _weights(p, [i for i in range(len(seen)) if seen[i] and dense[i]])
+    chars = _weights(p, [i for i in range(len(seen)) if seen[i]])
+    main = max((e for e in chars if p.names[e] in MAIN), key=lambda e: (weight.get(e, 0), chars[e]), default=None)
+    if main is not None:
+        around = {e for x in p.lines if main in x[2] for e in x[2][: x[2].index(main)]}
+    else:
+        around = {e for e in weight if 2 * weight[e] > weight[0]}
+    return [e for e, strong in p.furniture.items() if e not in around and (strong or not held.get(e))]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
 

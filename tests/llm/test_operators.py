@@ -296,6 +296,19 @@ def test_main_text_keeps_all_content():
     assert maintext.main_text(split) == "\n".join([a, b, c])
 
 
+def test_main_text_furniture_words_in_articles():
+    a, b, c, d = (prose(i) for i in range(4))
+    for section in ("<section id='discussion'>", "<section id='related-work'>", "<section id='search'>", "<section class='comments-on-method'>", "<div id='discussion'>"):
+        page = f"<body><article><p>{a}</p>{section}<h2 id='sharing-comments'>Head</h2><p>{b}</p><p>{c}</p></section></div></article></body>"
+        assert maintext.main_text(page) == "\n".join([a, "Head", b, c]), section
+    for wrapper in ("container has-sidebar", "no-sidebar", "page sidebar", "menu"):
+        for tag in ("article", "div"):
+            page = f"<body><div class='{wrapper}'><{tag}><p>{a}</p><p>{b}</p></{tag}><div class='sidebar'><p>{c}</p></div></div></body>"
+            assert maintext.main_text(page) == a + "\n" + b, (wrapper, tag)
+    page = f"<body><article><p>{a}</p><p>{b}</p></article><div id='comments'><article class='comment'><p>{prose(8, 20)}</p></article></div></body>"
+    assert maintext.main_text(page) == a + "\n" + b
+
+
 def test_main_text_table(spark):
     p = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<article>é</article>", "x"), (None, "u", "", "y")], "page_id long, url string, html string, text string")
     got = rows(maintext.extract(p))
