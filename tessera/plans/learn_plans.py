@@ -67,7 +67,7 @@ def hmm_decode(spark, d):
 
 
 def hmm_train(spark, d):
-    h = ml.Hmm(3, 1, max_iter=5).fit(_sequences(spark, d))
+    h = ml.Hmm(3, 1).fit(_sequences(spark, d))
     return h.decode(_sequences(spark, d))
 
 

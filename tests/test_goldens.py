@@ -277,3 +277,13 @@ def test_importers(spark, tmp_path):
     assert a.exceptAll(b).count() == 0
     js = '[{"Service": {"Address": "10.0.0.1", "Port": 80, "Tags": ["1/3", "x"]}}]'
     assert [tuple(x) for x in one(spark, importers.consul(F.lit(js)))] == [("10.0.0.1", 80, "1/3")]
+
+
+def test_hmm_train_has_the_default_bound(spark, sf, monkeypatch):
+    from tessera.plans import learn_plans
+
+    seen = []
+    monkeypatch.setattr(ml.Hmm, "fit", lambda self, seqs: seen.append(self.max_iter) or self)
+    monkeypatch.setattr(ml.Hmm, "decode", lambda self, seqs: seqs)
+    learn_plans.hmm_train(spark, sf)
+    assert seen == [ml.Hmm(3, 1).max_iter]
