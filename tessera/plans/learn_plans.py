@@ -16,6 +16,10 @@ def _vectors(spark, d):
     return e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("features"))
 
 
+def _whole_vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+
+
 def _first(spark, d):
     """Model at the start: the four rows at equal distances in order of id."""
     v = _vectors(spark, d)
@@ -34,8 +38,8 @@ def kmeans_step(spark, d):
 
 
 def kmeans_train(spark, d):
-    km = ml.KMeans(4).fit(_vectors(spark, d))
-    return km.assign(_vectors(spark, d)).select("id", "label", "dist")
+    v = _whole_vectors(spark, d)
+    return ml.KMeans(4).fit(v).assign(v).select("id", "label", "dist")
 
 
 def _model(spark, d):

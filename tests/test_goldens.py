@@ -287,3 +287,17 @@ def test_hmm_train_has_the_default_bound(spark, sf, monkeypatch):
     monkeypatch.setattr(ml.Hmm, "decode", lambda self, seqs: seqs)
     learn_plans.hmm_train(spark, sf)
     assert seen == [ml.Hmm(3, 1).max_iter]
+
+
+def test_kmeans_train_takes_whole_embeddings(spark, sf):
+    from tessera.plans import learn_plans
+    from tessera.session import table
+
+    rows = table(spark, sf, "embeddings").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    got = {r["id"]: (r["label"], r["dist"]) for r in learn_plans.kmeans_train(spark, sf).collect()}
+    labels = np.array([got[r["vec_id"]][0] for r in rows])
+    fitted = ml.KMeans(4).fit(spark.createDataFrame([(r["vec_id"], list(map(float, r["embedding"]))) for r in rows], "id long, features array<double>"))
+    dist = np.sqrt(((x[:, None] - np.array(fitted.centroids)[None]) ** 2).sum(axis=2))
+    assert (dist.argmin(axis=1) == labels).all()
+    assert [got[r["vec_id"]][1] for r in rows] == pytest.approx(dist.min(axis=1).tolist())
