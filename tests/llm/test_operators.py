@@ -1,3 +1,4 @@
+import html
 import random
 import re
 import textwrap
@@ -274,9 +275,9 @@ def test_main_text():
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First   para
     graph<br>with break.<p><b>Second para<p>Third &eacute;.</p><div class="share">Share me</div><ul><li>one<li>two</ul></article>
     <div id="comments"><p>A very long reader comment that says a lot about everything there is to say.</p></div><aside>Side</aside><form>Name <input></form><footer>&copy; us</footer></body></html>"""
-    assert maintext.main_text(page) == "Head & line\nFirst para graph with break.\nSecond para\nThird é.\none\ntwo"
+    assert maintext.main_text(page).split("\n\n") == ["Head & line", "First para graph with break.", "Second para", "Third é.", "one", "two"]
     plain = "<body><div class='menu'><a>x</a> <a>y</a></div><div><p>" + "long text here " * 9 + "</p><p>" + "more of the text " * 9 + "</p></div><div class='ad'>buy</div></body>"
-    assert maintext.main_text(plain) == ("long text here " * 9).strip() + "\n" + ("more of the text " * 9).strip()
+    assert maintext.main_text(plain) == ("long text here " * 9).strip() + "\n\n" + ("more of the text " * 9).strip()
     assert maintext.main_text(None) == maintext.main_text("") == maintext.main_text("<p>") == ""
     assert maintext.main_text("just words") == "just words"
 
@@ -288,25 +289,68 @@ def prose(seed, n=25):
 def test_main_text_keeps_all_content():
     a, b, c, d = (prose(i) for i in range(4))
     both = f"<body><div class=menu><a>x</a> <a>y</a></div><div id=page><div><h1>T</h1><p>{a}</p></div><div><p>{b}</p><p>{c}</p><p>{d}</p><p>{a}</p><p>{b}</p></div></div><div class=ad>buy</div></body>"
-    assert maintext.main_text(both) == "\n".join(["T", a, b, c, d, a, b])
+    assert maintext.main_text(both) == "\n\n".join(["T", a, b, c, d, a, b])
     low = "<ul class=menu>" + "<li><a href=x>x</a>" * 8 + "</ul>"
     cards = f"<body>{low}<div><p>{a}</p><p>{b}</p><p>{c}</p></div><article><p>{d}</p></article><article><p>{a}</p></article>{low}</body>"
-    assert maintext.main_text(cards) == "\n".join([a, b, c, d, a])
+    assert maintext.main_text(cards) == "\n\n".join([a, b, c, d, a])
     split = f"<body><div><article><p>{a}</p></article><article><p>{b}</p><p>{c}</p></article></div><footer>f</footer></body>"
-    assert maintext.main_text(split) == "\n".join([a, b, c])
+    assert maintext.main_text(split) == "\n\n".join([a, b, c])
 
 
 def test_main_text_furniture_words_in_articles():
     a, b, c, d = (prose(i) for i in range(4))
     for section in ("<section id='discussion'>", "<section id='related-work'>", "<section id='search'>", "<section class='comments-on-method'>", "<div id='discussion'>"):
         page = f"<body><article><p>{a}</p>{section}<h2 id='sharing-comments'>Head</h2><p>{b}</p><p>{c}</p></section></div></article></body>"
-        assert maintext.main_text(page) == "\n".join([a, "Head", b, c]), section
+        assert maintext.main_text(page) == "\n\n".join([a, "Head", b, c]), section
     for wrapper in ("container has-sidebar", "no-sidebar", "page sidebar", "menu"):
         for tag in ("article", "div"):
             page = f"<body><div class='{wrapper}'><{tag}><p>{a}</p><p>{b}</p></{tag}><div class='sidebar'><p>{c}</p></div></div></body>"
-            assert maintext.main_text(page) == a + "\n" + b, (wrapper, tag)
+            assert maintext.main_text(page) == a + "\n\n" + b, (wrapper, tag)
     page = f"<body><article><p>{a}</p><p>{b}</p></article><div id='comments'><article class='comment'><p>{prose(8, 20)}</p></article></div></body>"
-    assert maintext.main_text(page) == a + "\n" + b
+    assert maintext.main_text(page) == a + "\n\n" + b
+
+
+def test_main_text_hidden_inside_blocks():
+    a, b = prose(1), prose(2)
+    for inner in ("<script>var x = 1;</script>", "<button>press</button>", "<svg><text>s</text></svg>", "<noscript>n</noscript>", "<span hidden>SECRET</span>", "<span class='ad'>SECRET</span>", "<i style='display: none'>SECRET</i>", "<!-- c -->"):
+        assert maintext.main_text(f"<body><article><p>BEFORE {inner} AFTER {a}</p><p>{b}</p></article></body>") == f"BEFORE AFTER {a}\n\n{b}", inner
+    for name in ("market-share", "notice-of-change", "research-group", "adelaide", "commentary"):
+        assert maintext.main_text(f"<body><article><p>{a}</p><div class='{name}'><p>{b}</p></div></article></body>") == f"{a}\n\n{b}", name
+    for name in ("cookie-notice", "post-comments", "share-buttons", "sidebar left", "ad_container"):
+        assert maintext.main_text(f"<body><article><p>{a}</p><div class='{name}'>x y z</div><p>{b}</p></article></body>") == f"{a}\n\n{b}", name
+
+
+def test_main_text_regions():
+    a, b, c, d = (prose(i) for i in range(4))
+    short = f"<body><article><h2>Part</h2><p>{a}</p><p>{b}</p></article><article><p>Short.</p></article></body>"
+    assert maintext.main_text(short).split("\n\n") == ["Part", a, b, "Short."]
+    form = f"<body><form id=f><nav><a href=x>x</a></nav><article><p>{a}</p><p>{b}</p><form>Name</form></article></form></body>"
+    assert maintext.main_text(form).split("\n\n") == [a, b]
+    reader = f"<body><main><article><p>{a}</p><p>{b}</p></article><section class='comments'><article><p>{c}</p></article></section></main></body>"
+    assert maintext.main_text(reader).split("\n\n") == [a, b]
+    links = "".join(f"<li><a href=x>go to {i}</a></li>" for i in range(6))
+    plain = f"<body><div class=x1><ul>{links}</ul></div><h1>Title</h1><div class=x2><p>{a}</p><p>{b}</p><ul>{links}</ul><p>To.</p><p>{c}</p></div><div class=x3>Copyright</div></body>"
+    assert maintext.main_text(plain).split("\n\n") == ["Title", a, b, "To.", c]
+
+
+def test_main_text_of_long_and_deep_pages():
+    a = prose(1)
+    deep = "<div>" * 50_000 + f"<p>{a}</p>" + "</span>" * 50_000
+    assert maintext.main_text(deep) == a
+    many = "<article>" + f"<p>{a}</p>" * 20_000 + "</article>"
+    assert maintext.main_text(many) == "\n\n".join([a] * 20_000)
+
+
+def test_main_text_of_the_pages(spark, sf):
+    """Against a plain extractor for the one form that these pages have."""
+    got = {r.page_id: (r.text, r.n_chars) for r in maintext.extract(table(spark, sf, "pages")).collect()}
+    pages = table(spark, sf, "pages").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:h1|p)>", body.replace("<b>", "").replace("<br>", " "))]
+        want = "\n\n".join(x for x in blocks if x)
+        assert got[r.page_id] == (want, len(want))
 
 
 def test_main_text_table(spark):
