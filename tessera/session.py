@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +72,21 @@ def release(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``materialise`` whose tables, and written ones passed to it, are released at the end: what is to outlive them must be written by then."""
+    made: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str = "t") -> DataFrame:
+        made.append(df if hasattr(df, _AT) else materialise(df, name))
+        return made[-1]
+
+    try:
+        yield write
+    finally:
+        release(*made)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs run inside hand at most so many rows at a time to Python: whole texts are large, and a batch is held several times over."""
