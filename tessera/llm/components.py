@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from tessera.session import materialise, release, scratch
 
 #: Up to so many edges (a few MB) one task finds the components in memory.
 IN_ONE_TASK = 100_000
@@ -16,20 +16,23 @@ IN_ONE_TASK = 100_000
 
 def forest_roots(parents: DataFrame) -> DataFrame:
     """(node, root) for a forest given as (node, parent), each node once: pointers jump to their parent's parent until all are at roots."""
-    cur = materialise(parents.select("node", F.col("parent").alias("root")), "forest")
-    while True:
+    cur = materialise(parents.select("node", F.col("parent").alias("root"), F.lit(True).alias("moved")), "forest")
+    while cur.where("moved").limit(1).count():
         up = cur.select(F.col("node").alias("x"), F.col("root").alias("y"))
-        moved = materialise(cur.join(up, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root"), F.col("y").isNotNull().alias("moved")), "forest")
-        cur = moved.select("node", "root")
-        if moved.where("moved").limit(1).count() == 0:
-            return cur
+        after = materialise(cur.join(up, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root"), F.col("y").isNotNull().alias("moved")), "forest")
+        release(cur)
+        cur = after
+    return cur
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't its component's smallest; root is that smallest node."""
     cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    n = cur.count()
-    return _in_one_task(cur) if n <= IN_ONE_TASK else _by_stars(cur)
+    if cur.count() > IN_ONE_TASK:
+        return _by_stars(cur)
+    out = _in_one_task(cur)
+    release(cur)
+    return out
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
@@ -62,18 +65,21 @@ def _by_stars(cur: DataFrame) -> DataFrame:
     before = _print(cur)
     while before[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = materialise(low.select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "low")
-        large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.distinct(), "large")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x"), "least")
-        small = large.join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialise(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        after = _print(cur)
-        if after == before:
+        with scratch() as keep:
+            low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "low")
+            large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = keep(large.distinct(), "large")
+            least = keep(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x"), "least")
+            small = large.join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            after = materialise(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        release(cur)
+        cur, told = after, _print(after)
+        if told == before:
             break
-        before = after
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = told
+    out = materialise(cur.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+    release(cur)
+    return out
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -83,11 +89,13 @@ def _print(edges: DataFrame) -> tuple[int, int]:
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (node, root) after further ``links`` (a, b) between nodes: the links are contracted to roots first."""
+    """``roots`` (node, root), which are released, after further ``links`` (a, b) between nodes: the links are contracted to roots first."""
     ra = roots.select(F.col("node").alias("na"), F.col("root").alias("ra"))
     rb = roots.select(F.col("node").alias("nb"), F.col("root").alias("rb"))
     top = links.join(ra, F.col("a") == F.col("na"), "left").join(rb, F.col("b") == F.col("nb"), "left")
     joined = components(top.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     j = joined.select(F.col("node").alias("x"), F.col("root").alias("y"))
-    moved = roots.join(j, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root"))
-    return materialise(moved.unionByName(joined), "roots")
+    moved = roots.select("node", "root").join(j, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root"))
+    out = materialise(moved.unionByName(joined), "roots")
+    release(joined, roots)
+    return out

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import forest_roots, merged
 from tessera.llm.textblocks import Words, mix, shingles, text_blocks
-from tessera.session import materialise, small_batches
+from tessera.session import materialise, release, scratch, setting, small_batches
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -187,11 +187,12 @@ def _bands(keys: str) -> F.Column:
 def likely(classes: DataFrame) -> DataFrame:
     """The ``classes`` (digest, keys, ...) enough of whose keys others have, and how many (``centre``); by counts, so large groups cost what small ones do."""
     keyed = classes.select(F.xxhash64("digest").alias("c"), F.explode("keys").alias("key"))
-    common = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n"), "common")
-    # equal 64-bit names of two classes would only keep both
-    strong = keyed.join(common, F.col("key") == F.col("k")).groupBy("c").agg(F.count("*").alias("shares"), F.sum("n").alias("centre")).where(F.col("shares") >= LEAST_KEYS)
-    strong = materialise(strong.select(F.col("c").alias("s"), "centre"), "strong")
-    return classes.join(strong, F.xxhash64("digest") == F.col("s")).drop("s")
+    with scratch() as keep:
+        common = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n"), "common")
+        # equal 64-bit names of two classes would only keep both
+        strong = keyed.join(common, F.col("key") == F.col("k")).groupBy("c").agg(F.count("*").alias("shares"), F.sum("n").alias("centre")).where(F.col("shares") >= LEAST_KEYS)
+        strong = keep(strong.select(F.col("c").alias("s"), "centre"), "strong")
+        return materialise(classes.join(strong, F.xxhash64("digest") == F.col("s")).drop("s"), "live")
 
 
 def common_shingles(texts: DataFrame) -> DataFrame:
@@ -205,47 +206,72 @@ def common_shingles(texts: DataFrame) -> DataFrame:
 
     # a class may stand more than once in ``texts``, if its row is repeated
     once = texts.groupBy(F.xxhash64("digest").alias("c")).agg(F.first("text").alias("text"))
-    each = materialise(once.mapInArrow(run, "c long, sh long"), "shingles")
-    some = materialise(each.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sh").alias("s")), "some")
-    counted = each.join(some, F.col("sh") == F.col("s"), "left_semi").groupBy("c").agg(F.count("*").alias("common"))
-    return materialise(counted.withColumnRenamed("c", "cc"), "counts")
+    with scratch() as keep:
+        each = keep(once.mapInArrow(run, "c long, sh long"), "shingles")
+        some = keep(each.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sh").alias("s")), "some")
+        counted = each.join(some, F.col("sh") == F.col("s"), "left_semi").groupBy("c").agg(F.count("*").alias("common"))
+        return materialise(counted.withColumnRenamed("c", "cc"), "counts")
 
 
 def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the ``classes`` that are not the root of their component of the similarity graph."""
-    live = materialise(likely(classes), "live")
-    rows = live.select(F.posexplode(_bands("keys")).alias("band", "bucket"), "digest", "n", "centre")
-    hubs = rows.groupBy("bucket").agg(F.max(F.struct("centre", "digest")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    hubs = materialise(hubs.select(F.col("bucket").alias("k"), "hub"), "hubs")
-    shared = materialise(rows.join(hubs, F.col("bucket") == F.col("k")).select("bucket", "band", "digest", "n", "hub"), "buckets")
-    texts = materialise(_texts(docs, live), "texts")
-
-    # hubs come later in the order of (centre, digest) than their members: a forest
-    first = shared.where("digest <> hub.digest").groupBy("digest").agg(F.max("hub").alias("hub"))
-    tested = materialise(first.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")), "pairs")
-    links = confirm(tested, texts)
-    roots = forest_roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))
-    named = _named(shared, roots)
-    if _split(named).limit(1).count() == 0:
+    with scratch() as keep:
+        live = likely(classes)
+        rows = live.select(F.posexplode(_bands("keys")).alias("band", "bucket"), "digest", "n", "centre")
+        hubs = rows.groupBy("bucket").agg(F.max(F.struct("centre", "digest")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+        hubs = materialise(hubs.select(F.col("bucket").alias("k"), "hub"), "hubs")
+        shared = materialise(rows.join(hubs, F.col("bucket") == F.col("k")).select("bucket", "band", "digest", "n", "hub"), "buckets")
+        release(hubs)
+        texts = keep(_texts(docs, live), "texts")
+
+        # hubs come later in the order of (centre, digest) than their members: a forest
+        first = shared.where("digest <> hub.digest").groupBy("digest").agg(F.max("hub").alias("hub"))
+        tested = keep(first.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")), "pairs")
+        links = confirm(tested, texts)
+        roots = forest_roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))
+        slim = materialise(shared.drop("hub"), "buckets")
+        release(shared)
+        shared = slim
+        named = _named(shared, roots)
+        several = _split(named).limit(1).count()
+        release(named)
+        if not several:
+            release(live, shared)
+            return roots
+        counts = keep(common_shingles(texts), "counts")
+        can = shared.join(counts, F.xxhash64("digest") == F.col("cc")).where(100 * F.col("common") >= PERCENT * F.col("n"))
+        able = keep(can.select("bucket", "band", "digest", "n", "common"), "buckets")
+        release(shared)
+        shared = able
+        # 32 bits of every bucket's name; a pair is made in the first bucket it shares only
+        marks = keep(live.select(F.col("digest").alias("md"), F.transform(_bands("keys"), lambda b: F.hash(b)).alias("marks")), "marks")
+        n_classes = live.count()
+        release(live)
+        left = shared.select(F.col("digest").alias("x")).distinct()
+        bits = keep(sketches(texts.join(left, F.col("digest") == F.col("x"), "left_semi")), "sketches")
+        for turn in range(MOST_ROUNDS + 1):
+            fresh, last = _across(shared, roots, marks, bits, tested, turn, n_classes)
+            if fresh is None:
+                break
+            roots = merged(roots, confirm(keep(fresh, "pairs"), texts))
+            tested = tested.unionByName(fresh)
+            if last:
+                break
         return roots
-    counts = common_shingles(texts)
-    can = shared.join(counts, F.xxhash64("digest") == F.col("cc")).where(100 * F.col("common") >= PERCENT * F.col("n"))
-    shared = materialise(can.select("bucket", "band", "digest", "n", "common"), "buckets")
-    # 32 bits of every bucket's name; a pair is made in the first bucket it shares only
-    marks = live.select(F.col("digest").alias("md"), F.transform(_bands("keys"), lambda b: F.hash(b)).alias("marks"))
-    able = can.select(F.col("digest").alias("x")).distinct()
-    bits = sketches(texts.join(able, F.col("digest") == F.col("x"), "left_semi"))
+
+
+def _across(shared: DataFrame, roots: DataFrame, marks: DataFrame, bits: DataFrame, tested: DataFrame, turn: int, n_classes: int) -> tuple[DataFrame | None, bool]:
+    """Pairs (a, b) not yet ``tested`` of classes in one bucket and in different components, and whether these are all; None if there is no such bucket."""
     names = [c for c in bits.columns if c != "sd"]
-    n_classes = live.count()
-    for turn in range(MOST_ROUNDS + 1):
-        named = _named(shared, roots)
-        split = materialise(_split(named), "split")
+    with scratch() as keep:
+        named = keep(_named(shared, roots), "named")
+        split = keep(_split(named), "split")
         cost = split.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
         if not cost:
-            return roots
+            return None, True
         open_rows = named.join(split.select("k", "big"), F.col("bucket") == F.col("k")).drop("k")
         open_rows = open_rows.join(marks, F.col("digest") == F.col("md")).join(bits, F.col("digest") == F.col("sd")).drop("md", "sd")
-        open_rows = materialise(open_rows, "open")
+        open_rows = keep(open_rows, "open")
         last = turn == MOST_ROUNDS or cost <= PAIRS_PER_CLASS * n_classes
         if last:
             side = open_rows.where("comp <> big")
@@ -253,7 +279,7 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
             # buckets in several parts, some large: their members meet a new hub of the bucket first
             order = F.xxhash64("digest", "bucket", F.lit(turn))
             side = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "digest", "n", "common", "comp", "marks", *names)).alias("h")).select("bucket", "h.*")
-        side = materialise(side.select(F.col("bucket").alias("k"), F.col("digest").alias("d"), F.col("n").alias("m"), F.col("common").alias("f"), F.col("comp").alias("c"), F.col("marks").alias("w"), *[F.col(c).alias(f"o{c}") for c in names]), "side")
+        side = keep(side.select(F.col("bucket").alias("k"), F.col("digest").alias("d"), F.col("n").alias("m"), F.col("common").alias("f"), F.col("comp").alias("c"), F.col("marks").alias("w"), *[F.col(c).alias(f"o{c}") for c in names]), "side")
         apart = (F.col("comp") != F.col("c")) & _may_link("n", "m")
         # what both have is at most what either has in common with any
         apart &= (100 + PERCENT) * F.least("common", "f") >= PERCENT * (F.col("n") + F.col("m"))
@@ -264,17 +290,12 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = open_rows.join(side, (F.col("bucket") == F.col("k")) & apart)
         pairs = pairs.select(F.greatest("digest", "d").alias("a"), F.least("digest", "d").alias("b")).distinct()
         done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
-        fresh = materialise(pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
-        roots = merged(roots, confirm(fresh, texts))
-        tested = tested.unionByName(fresh)
-        if last:
-            break
-    return roots
+        return materialise(pairs.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs"), last
 
 
 def _named(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """``shared`` with the component of each class."""
-    d = shared.join(roots, F.col("digest") == F.col("node"), "left").drop("node")
+    d = shared.join(roots.select("node", "root"), F.col("digest") == F.col("node"), "left").drop("node")
     return materialise(d.withColumn("comp", F.coalesce("root", "digest")).drop("root"), "named")
 
 
@@ -299,23 +320,29 @@ def sketches(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(words)]], ["sd", *names])
 
     out = texts.mapInArrow(run, "sd binary, " + ", ".join(f"{c} long" for c in names))
-    return materialise(out.groupBy("sd").agg(*[F.first(c).alias(c) for c in names]), "sketches")
+    # the work per byte is high: partitions small in bytes aren't joined up
+    with setting(texts.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m"):
+        return materialise(out.groupBy("sd").agg(*[F.first(c).alias(c) for c in names]), "sketches")
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), scratch() as keep:
         sigs = materialise(signatures(docs), "signatures")
+        rows = materialise(sigs.drop("keys"), "rows")
         classes = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.min("doc_id").alias("low"))
         classes = materialise(classes.select("digest", "n", "keys", "at.doc_id", "at.text_hash", "low"), "classes")
+        release(sigs)
+        low = keep(classes.select("digest", "low"), "low")
         roots = class_roots(docs, classes.drop("low"))
-    lowest = classes.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
-    lowest = materialise(lowest, "lowest")
-    of_root = materialise(lowest.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r"), "roots")
-    of_class = materialise(lowest.join(of_root, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component"), "components")
-    d = sigs.select("doc_id", "text_hash", "n_shingles", "digest")
-    d = d.join(of_class, F.col("digest") == F.col("d"), "left")
+        release(classes)
+        lowest = low.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
+        lowest = keep(lowest, "lowest")
+        release(roots)
+        of_root = keep(lowest.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r"), "roots")
+        of_class = materialise(lowest.join(of_root, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component"), "components")
+    d = rows.join(of_class, F.col("digest") == F.col("d"), "left")
     found = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return d.select("doc_id", "text_hash", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
