@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.textblocks import prefix_hash, span_hash, text_blocks
-from tessera.session import materialise
+from tessera.session import materialise, release, scratch
 
 LENGTH = 200
 #: Bytes of the hashed core; a window has LENGTH - CORE + 1 of them.
@@ -258,11 +258,15 @@ def sort_group(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for c, v in out.items()})
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (k1, k2, s0, s1, ...) with the bytes of each segment; a row's segments travel as one list."""
+def _lists(wanted: DataFrame) -> DataFrame:
+    """(w1, w2, segs): ``wanted`` (k1, k2, ...) with a row's segments as one list."""
     fields = [c for c in wanted.columns if c not in ("k1", "k2")]
-    lists = wanted.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(F.struct(*fields)).alias("segs"))
-    lists = materialise(lists, "wanted")
+    return wanted.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(F.struct(*fields)).alias("segs"))
+
+
+def cut_out(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(k1, k2, s0, s1, ..., bytes) of each segment in ``lists`` (w1, w2, segs)."""
+    fields = lists.schema["segs"].dataType.elementType.names
     both = docs.join(lists, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("k1", "k2", F.col("text").cast("binary").alias("text"), "segs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,28 +287,36 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, a, b): stretches of the rows of ``docs`` (k1, k2, text) covered by repeats; they may overlap."""
-    segs = materialise(find_segments(docs), "segments")
-    cores = segs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(F.col("core").alias("c"))
-    shared = materialise(segs.join(cores, F.col("core") == F.col("c"), "left_semi"), "shared")
-    bodies = shared.groupBy("core", "body").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "s0", "s1")).alias("r"))
-    bodies = materialise(bodies.select("core", "body", "n", "r.*"), "bodies")
-    # whole segments that stand more than once
-    many = materialise(bodies.where("n > 1").select(F.col("core").alias("c"), F.col("body").alias("d")), "many")
-    whole = shared.join(many, (F.col("core") == F.col("c")) & (F.col("body") == F.col("d")), "left_semi").select("k1", "k2", F.col("s0").alias("a"), (F.col("s1") + LENGTH).alias("b"))
-    # different segments with a common core
-    mixed = materialise(bodies.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("core", "c"), "mixed")
-    open_ = bodies.join(mixed, F.col("core") == F.col("c"))
-    chunk = F.when(F.col("m") > CHUNK, F.pmod(F.xxhash64("body"), F.ceil(F.col("m") / CHUNK))).otherwise(F.lit(0).cast("long"))
-    groups = max(1, mixed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] // CHUNK)
-    wanted = open_.select("k1", "k2", "s0", "s1", "n", F.when(F.col("m") > CHUNK, 1).otherwise(0).cast("long").alias("chunked"), F.pmod(F.xxhash64("core", chunk), F.lit(groups)).alias("g"))
-    sorted_ = cut_out(docs, wanted).groupBy("g").applyInArrow(sort_group, "kind long, k1 long, k2 long, a long, b long, h1 long, h2 long, n long")
-    sorted_ = materialise(sorted_, "sorted")
-    rims = sorted_.where("kind = 0").select("k1", "k2", "a", "b")
-    windows = sorted_.where("kind = 1")
-    met = materialise(windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").withColumnsRenamed({"h1": "g1", "h2": "g2"}), "met")
-    chunked = windows.where("a >= 0").join(met, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").select("k1", "k2", "a", "b")
-    return whole.unionByName(rims).unionByName(chunked)
+    """(x1, x2, spans): for each row of ``docs`` (k1, k2, text) the stretches (a, b) covered by repeats; they may overlap."""
+    with scratch() as keep:
+        segs = materialise(find_segments(docs), "segments")
+        # written on its own, so that a core in a third of all segments is joined in splits
+        cores = keep(segs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(F.col("core").alias("c")), "cores")
+        shared = keep(segs.join(cores, F.col("core") == F.col("c"), "left_semi"), "shared")
+        release(segs)
+        bodies = shared.groupBy("core", "body").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "s0", "s1")).alias("r"))
+        bodies = keep(bodies.select("core", "body", "n", "r.*"), "bodies")
+        # whole segments that stand more than once
+        many = keep(bodies.where("n > 1").select(F.col("core").alias("c"), F.col("body").alias("d")), "many")
+        whole = shared.join(many, (F.col("core") == F.col("c")) & (F.col("body") == F.col("d")), "left_semi").select("k1", "k2", F.col("s0").alias("a"), (F.col("s1") + LENGTH).alias("b"))
+        # different segments with a common core
+        mixed = keep(bodies.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("core", "c"), "mixed")
+        open_ = bodies.join(mixed, F.col("core") == F.col("c"))
+        chunk = F.when(F.col("m") > CHUNK, F.pmod(F.xxhash64("body"), F.ceil(F.col("m") / CHUNK))).otherwise(F.lit(0).cast("long"))
+        groups = max(1, mixed.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] // CHUNK)
+        wanted = open_.select("k1", "k2", "s0", "s1", "n", F.when(F.col("m") > CHUNK, 1).otherwise(0).cast("long").alias("chunked"), F.pmod(F.xxhash64("core", chunk), F.lit(groups)).alias("g"))
+        lists = keep(_lists(wanted), "wanted")
+        sorted_ = cut_out(docs, lists).groupBy("g").applyInArrow(sort_group, "kind long, k1 long, k2 long, a long, b long, h1 long, h2 long, n long")
+        sorted_ = keep(sorted_, "sorted")
+        release(lists)
+        rims = sorted_.where("kind = 0").select("k1", "k2", "a", "b")
+        windows = sorted_.where("kind = 1")
+        met = keep(windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").withColumnsRenamed({"h1": "g1", "h2": "g2"}), "met")
+        chunked = windows.where("a >= 0").join(met, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").select("k1", "k2", "a", "b")
+        # neighbours in a row overlap: each row's spans are a list bounded by its length
+        spans = whole.unionByName(rims).unionByName(chunked)
+        lists = spans.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        return materialise(lists, "spans")
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -320,10 +332,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with row keys k1, k2 and the list of its spans."""
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"))
-    spans = repeated_spans(keyed.where("text IS NOT NULL").select("k1", "k2", "text"))
-    # neighbours in a row overlap: each row's spans are a list bounded by its length
-    lists = spans.groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    lists = materialise(lists, "spans")
+    lists = repeated_spans(keyed.where("text IS NOT NULL").select("k1", "k2", "text"))
     return keyed.join(lists, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")), "left"), docs.columns
 
 
