@@ -1,7 +1,7 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation (operator 5).
 
 Components are turned into integers floor(scale * x). Queries go out in blocks of
-bounded size; every task turns its vectors, batch by batch, into postings (one
+bounded size, each block's result written before the next goes out; every task turns its vectors, batch by batch, into postings (one
 list of rows and weights per dimension) and, dimension by dimension, scatters
 weight times posting into dense score arrays, one per query. A partition
 selection keeps each query's k best of the batch, a merge those of the task, and
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries in one broadcast block (at 64 dimensions 1 MB), and scored at once.
-QUERY_BLOCK, QUERY_STEP = 2048, 128
+from tessera.session import materialise
+
+#: Queries in one broadcast block (at 64 dimensions 8 MB), and scored at once.
+QUERY_BLOCK, QUERY_STEP = 16_384, 128
 #: Vectors scored at once.
 ROWS_STEP = 4096
 
@@ -90,12 +92,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     rows = usable(vectors)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     spark = vectors.sparkSession
-    found = None
-    # the driver holds one block of queries at a time; all rows meet each block
-    block: list = []
-    stream = asked.toLocalIterator()
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
-    def scored(block: list) -> DataFrame:
+    def scored(block: list, more: bool) -> DataFrame:
+        """The k best of a block of queries; of one that others follow, written, so that its broadcast can go."""
         width = max(len(r[1]) for r in block)
         q_ids = np.array([r[0] for r in block], np.int64)
         q = np.zeros((len(block), width), np.int64)
@@ -123,16 +123,18 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             cols = {"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([a for a, _ in best]), "score": np.concatenate([b for _, b in best])}
             yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in cols.items()})
 
-        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if more:
+            part = materialise(part, "topk")
+            sent.destroy()
+        return part
 
-    for r in stream:
-        block.append(r)
+    # the driver holds one block of queries at a time; all rows meet each block
+    block: list = []
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for r in asked.toLocalIterator():
         if len(block) == QUERY_BLOCK:
-            found = scored(block) if found is None else found.unionByName(scored(block))
-            block = []
-    if block:
-        found = scored(block) if found is None else found.unionByName(scored(block))
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            found, block = found.unionByName(scored(block, True)), []
+        block.append(r)
+    return found.unionByName(scored(block, False)) if block else found
