@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from tessera.session import materialise, release, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, as possessive forms with the same leftmost matches.
@@ -138,49 +138,68 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _near(kinds: tuple[str, ...] = KINDS) -> Column:
+    """Of a row of ``base_spans`` every (entity, term, context): the terms around each of its values."""
+
+    def of(k: str):
+        def one(s: Column) -> Column:
+            before = F.substring(F.col("t"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
+            around = F.concat_ws(" ", before, F.substring(F.col("t"), s["end"] + 1, F.lit(CONTEXT)))
+            entity = F.xxhash64(F.lit(k), F.lower(s["value"]))
+            return let(around, lambda a: F.transform(F.array_distinct(_terms(a)), lambda x: F.struct(entity.alias("entity"), x.alias("term"), F.xxhash64(a).alias("context"))))
+
+        return one
+
+    return F.flatten(F.concat(*[F.transform(F.col(f"s_{k}"), of(k)) for k in kinds]))
+
+
 def disclosing_terms(spans: DataFrame) -> DataFrame:
-    """(term, bits) of the terms that disclose an entity, from ``base_spans`` of the whole corpus."""
-    value = lambda k: F.transform(F.col(f"s_{k}"), lambda s: F.struct(F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-    around = F.concat_ws(" ", F.substring(F.col("t"), F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start"))), F.substring(F.col("t"), F.col("s.end") + 1, F.lit(CONTEXT)))
-    seen = spans.select("t", F.xxhash64("doc_id", "t").alias("doc"), F.explode(F.concat(*[value(k) for k in KINDS])).alias("s"))
-    seen = seen.select("doc", F.col("s.entity").alias("entity"), F.explode(F.array_distinct(_terms(around))).alias("term"), F.xxhash64(around).alias("context"))
-    # a term needs SUPPORT contexts of one entity; the distinct rows keep copies of a passage from counting
-    near = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    near = materialise(near, "near")
-    if near.limit(1).count() == 0:
-        return near.select("term", F.lit(0.0).alias("bits"))
+    """(term, bits) of the terms that disclose an entity, from ``base_spans`` of the whole corpus.
+
+    All figures count rows, so a table with each row repeated has the same terms.
+    """
     n = spans.count()
-    both = seen.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    # documents with any value bound a term's documents from below: most terms near a value are out before all texts are read for them
-    holders = spans.where(F.size(F.concat(*[F.col(f"s_{k}") for k in KINDS])) > 0)
-    held = holders.select(F.explode(F.array_distinct(_terms(F.col("t")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
-    near = materialise(near.join(both, ["entity", "term"]).join(held, "term").where(2 * F.col("n_both") >= F.col("n_held")), "near")
-    entity = seen.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = near.select(F.col("term").alias("w")).distinct()
-    words = spans.select(F.explode(F.array_distinct(_terms(F.col("t")))).alias("term"))
-    with_term = words.join(wanted, F.col("term") == F.col("w"), "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    d = near.join(entity, "entity").join(with_term, "term")
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    bits = F.log2(share / F.least(F.lit(1.0), F.col("n_entity") / F.lit(float(n))))
-    return materialise(d.where((share >= 0.5) & (bits >= BITS)).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
+    with scratch() as keep:
+        # what surrounds the values is all that is needed of most texts
+        held = keep(spans.where(F.size(F.concat(*[F.col(f"s_{k}") for k in KINDS])) > 0).select(_near().alias("near")), "held")
+        entities = held.select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+        # an entity so frequent that no term can add the bits asked for has none
+        entities = keep(entities.where(F.log2(F.lit(float(max(1, n))) / F.col("n_entity")) >= BITS), "entities")
+        # a term needs SUPPORT contexts of one entity; the distinct rows keep copies of a passage from counting
+        near = held.select(F.explode("near").alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+        both = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
+        both = both.select("x.*").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+        near = keep(near.join(entities, "entity").join(both, ["entity", "term"]), "near")
+        if near.limit(1).count() == 0:
+            return spans.sparkSession.createDataFrame([], "term string, bits double")
+        wanted = near.select(F.col("term").alias("w")).distinct()
+        words = spans.select(F.explode(F.array_distinct(_terms(F.col("t")))).alias("term"))
+        with_term = words.join(wanted, F.col("term") == F.col("w"), "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+        share = F.col("n_both") / F.col("n_term")
+        bits = F.log2(share * F.lit(float(n)) / F.col("n_entity"))
+        return materialise(near.join(with_term, "term").where((share >= 0.5) & (bits >= BITS)).groupBy("term").agg(F.max(bits).alias("bits")), "terms")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with t, s_<kind> and ``all_spans``: base spans, then disclosing terms by start."""
     spans = base_spans(docs)
-    terms = disclosing_terms(spans.select("doc_id", "t", *[f"s_{k}" for k in KINDS]))
+    terms = disclosing_terms(spans.select("t", *[f"s_{k}" for k in KINDS]))
     if terms.limit(1).count() == 0:
         return spans.withColumn("all_spans", tagged(spans))
     keyed = spans.withColumn("th", F.xxhash64("t"))
-    words = keyed.select("doc_id", "th", F.explode(F.array_distinct(_terms(F.col("t")))).alias("term"))
-    flagged = words.join(terms.select(F.col("term").alias("w")), F.col("term") == F.col("w"), "left_semi").select("doc_id", "th").distinct()
-    f = materialise(flagged.withColumnsRenamed({"doc_id": "f_id", "th": "f_th"}), "flagged")
     same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("th") == F.col(b))
-    at = keyed.select("doc_id", "th", "t").join(f, same("f_id", "f_th"), "left_semi").dropDuplicates(["doc_id", "th"])
-    at = at.select("doc_id", "th", F.explode(found(F.col("t"), TERM)).alias("s"))
-    at = at.join(terms.select(F.col("term").alias("w")), F.lower("s.value") == F.col("w"), "left_semi")
-    at = at.groupBy(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th")).agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("terms"))
-    out = keyed.join(materialise(at, "term_spans"), same("a_id", "a_th"), "left")
+    with scratch() as keep:
+        words = keyed.select("doc_id", "th", F.explode(F.array_distinct(_terms(F.col("t")))).alias("term"))
+        flagged = words.join(terms.select(F.col("term").alias("w")), F.col("term") == F.col("w"), "left_semi").select("doc_id", "th").distinct()
+        f = keep(flagged.withColumnsRenamed({"doc_id": "f_id", "th": "f_th"}), "flagged")
+        at = keyed.select("doc_id", "th", "t").join(f, same("f_id", "f_th"), "left_semi").dropDuplicates(["doc_id", "th"])
+        at = at.select("doc_id", "th", F.explode(found(F.col("t"), TERM)).alias("s"))
+        at = at.join(terms.select(F.col("term").alias("w")), F.lower("s.value") == F.col("w"), "left_semi")
+        # a row's terms are bounded by its text
+        at = at.groupBy(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th")).agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("terms"))
+        at = materialise(at, "term_spans")
+    release(terms)
+    out = keyed.join(at, same("a_id", "a_th"), "left")
     every = F.concat(tagged(out), F.coalesce(F.col("terms"), F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     return out.withColumn("all_spans", every).drop("terms", "a_id", "a_th", "th")
 
