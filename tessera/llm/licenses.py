@@ -34,11 +34,11 @@ LICENSES = {
 }
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("judgement", "judgment"), ("https", "http"), ("noncommercial", "non commercial"))
 #: A notice has a year; a line of a licence that only begins with the word stays.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|©|\(c\))[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}[^\n]*$"
+COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n(]*(?:copyright|©|\(c\))[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}[^\n]*$"
 #: The wider rule: any notice with the word or the sign, but not a wrapped licence line (told by what follows the word)
 #: nor a list item (c), which counts with a year next to it or at the line's end; and lines of rights reserved alone.
 NOTICE_LINE = (
-    r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright(?![\p{L}\p{N}])(?![ \t\r]*$)(?![ \t]*[,;/])"
+    r"(?md)^[^\p{L}\p{N}\n(]*(?:copyright(?![\p{L}\p{N}])(?![ \t\r]*$)(?![ \t]*[,;/])"
     r"(?![ \t]+(?:holders?|notices?|laws?|owners?|owned|and|or|licen[cs]es?|licen[cs]ed|statements?|disclaimers?|permissions?|interests?|protection|treaty|treaties|acts?|rights?|is|are|in|of|on|to|for|as|that|which|may|shall|will|does|under|with|infringements?)(?![\p{L}\p{N}]))"
     r"[^\n]*|©[^\n]*|\(c\)[ \t]*(?:©[ \t]*|copyright[ \t]*)?[0-9]{4}[^\n]*|\(c\)[^\n]*[^\p{L}\p{N}\n][0-9]{4}[^\p{L}\p{N}\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
 )
@@ -48,7 +48,9 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 def _words(t: Column) -> Column:
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, NOT_WORD, " ")), F.lit(" "))
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
+        # twice, as neighbours share a space
+        for _ in range(2):
+            t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
@@ -102,16 +104,31 @@ def notices(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    def form(x: str) -> str:
-        t = f"concat(' ', trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g')), ' ')"
-        for a, b in SPELLINGS:
-            t = f"replace({t}, ' {a} ', ' {b} ')"
-        return f"trim({t})"
-
+    """The same in DuckDB, line by line and word by word: its regular expressions know no look-ahead."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(LICENSES.items()))
+    solid, off = r"[\p{L}\p{N}]", r"^[^\p{L}\p{N}\n(]*"
+    words = "holder|holders|notice|notices|law|laws|owner|owners|owned|and|or|license|licence|licenses|licences|licensed|licenced|statement|statements|disclaimer|disclaimers|permission|permissions|interest|interests|protection|treaty|treaties|act|acts|right|rights|is|are|in|of|on|to|for|as|that|which|may|shall|will|does|under|with|infringement|infringements"
+    m = lambda p: f"regexp_matches(x, '{p}')"
+    rest = "substr(x, strpos(x, 'copyright') + 9)"
+    r = lambda p: f"regexp_matches({rest}, '{p}')"
+    named = f"({m(off + 'copyright')} AND NOT {r('^' + solid)} AND NOT {r(r'^[ \t\r]*$')} AND NOT {r(r'^[ \t]*[,;/]')} AND NOT {r(r'^[ \t]+(' + words + r')([^\p{L}\p{N}]|$)')})"
+    listed = rf"\(c\)[ \t]*(©[ \t]*|copyright[ \t]*)?[0-9]{{4}}"
+    ends = rf"\(c\).*[^\p{{L}}\p{{N}}\n][0-9]{{4}}[^\p{{L}}\p{{N}}\n]*$"
+    wide = f"({named} OR {m(off + '(©|' + listed + '|' + ends + r'|all rights reserved[^\p{L}\p{N}\n]*$)')})"
+    narrow = m(off + r"(copyright|©|\(c\))[ \t]*(\(c\)|©)?[ \t]*[0-9]{4}")
+    table = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS) + "}"
+
+    def form(text: str, line: str) -> str:
+        kept = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda x: NOT {line}), ' ')"
+        split = rf"list_filter(regexp_split_to_array({kept}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+        return f"array_to_string(list_transform({split}, lambda w: coalesce({table}[w], w)), ' ')"
+
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted((LICENSES | MORE_LICENSES).items()))
+    both = lambda text: f"{form(text, narrow)} AS f1, {form(text, wide)} AS f2"
     return (
-        f"WITH known AS (SELECT sha256({form('body')}) AS known_digest, min(license_id) AS license_id FROM (VALUES {rows}) t(license_id, body) GROUP BY 1), "
-        f"d AS (SELECT doc_id, CASE WHEN form = '' THEN NULL ELSE sha256(form) END AS digest FROM (SELECT doc_id, {form('text')} AS form FROM documents)) "
-        "SELECT doc_id, digest, license_id FROM d LEFT JOIN known ON digest = known_digest"
+        f"WITH k AS (SELECT license_id, {both('body')} FROM (VALUES {rows}) t(license_id, body)), "
+        "known AS (SELECT f, min(license_id) AS license_id FROM (SELECT license_id, f1 AS f FROM k UNION ALL SELECT license_id, f2 FROM k) GROUP BY 1), "
+        f"d AS (SELECT doc_id, {both('text')} FROM documents) "
+        "SELECT doc_id, CASE WHEN f1 <> '' THEN sha256(f1) END AS digest, coalesce(a.license_id, b.license_id) AS license_id "
+        "FROM d LEFT JOIN known a ON f1 = a.f LEFT JOIN known b ON f2 = b.f"
     )
