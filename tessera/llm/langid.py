@@ -4,7 +4,8 @@ Every language has probabilities over the pieces of one fixed public vocabulary.
 A word's likelihood under a language is the sum over all its segmentations into
 pieces, computed by a forward recursion; a text's is the product over its words.
 Expectation-maximisation (forward-backward over the same lattices) learns the
-probabilities from a bounded sample of labelled texts.
+probabilities from a bounded sample of labelled texts. Words are whole, whatever
+their length (that of long ones is rescaled along the way), and all pieces count.
 
 The bound: about ``SAMPLE_DOCS`` documents of each language, chosen by a hash of
 doc_id, whole texts. Documents whose crc32(doc_id) mod 4 is 2 are held out and
@@ -14,8 +15,7 @@ Nulls, ties and clashes: a null text, or one without letters, gives ``und`` with
 score 0; equal likelihoods go to the first language in code-point order; a null
 doc_id is no held-out row and isn't learnt from; a null lang isn't learnt from;
 without any labelled row all texts are ``und``; repeated rows come back each;
-extra columns are ignored by ``identify`` and kept by ``keep_identified``. Words of more
-than ``LONGEST`` letters are scored in stretches of that many.
+extra columns are ignored by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.textblocks import mix
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bound of the labelled sample: documents of each language, in expectation.
 SAMPLE_DOCS = 400
 ITERATIONS = 3
-LONGEST = 24
-#: Pieces longer than this aren't looked up.
-PIECE = 16
+#: Letters from which on a word's sums are rescaled, so that they don't run out of exponent.
+LONG = 24
 #: Words a task remembers before it forgets all.
 REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,7 +51,7 @@ def load_pieces(path: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for i in range(model.get_piece_size()):
         s = model.id_to_piece(i)
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or len(s) > PIECE:
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         if s.lstrip(_START).isalpha() or s == _START:
             found.setdefault(s, len(found) + 1)
@@ -61,26 +62,60 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def stretches(word: str) -> list[str]:
-    w = _START + word
-    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points (word, place) of equally long words."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
-    """Ids (word, end, length - 1) of the pieces ending at each place of equally long words; -1 where there is none."""
-    n = len(words[0])
-    out = np.full((len(words), n, min(n, PIECE)), -1, np.int32)
-    get = pieces.get
-    for k, w in enumerate(words):
-        row = out[k]
-        for j in range(1, n + 1):
-            one = get(w[j - 1 : j], 0)
-            row[j - 1, 0] = one
-            for m in range(2, min(j, PIECE) + 1):
-                i = get(w[j - m : j])
-                if i is not None:
-                    row[j - 1, m - 1] = i
-    return out
+class PieceIndex:
+    """Look-up of all stretches of a length in many words at once: a bit per hash tells most that are no pieces, the rest is compared."""
+
+    _BITS = 22
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.size = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for s in pieces:
+            by_length[len(s)].append(s)
+        self.known = {}
+        self.bits = np.zeros(1 << self._BITS, bool)
+        for n, found in by_length.items():
+            codes = _codes(found)
+            h = self._start(codes[:, 0])
+            for k in range(1, n):
+                h = self._next(h, codes[:, k])
+            order = np.argsort(h)
+            self.known[n] = h[order], np.array([pieces[s] for s in found], np.int32)[order], codes[order]
+            self.bits[h >> np.uint64(64 - self._BITS)] = True
+
+    @staticmethod
+    def _start(c: np.ndarray) -> np.ndarray:
+        return mix(c.astype(np.uint64) + np.uint64(1))
+
+    @staticmethod
+    def _next(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return mix(h + c.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+    def lattice(self, words: list[str]) -> np.ndarray:
+        """Ids (word, end, length - 1) of the pieces ending at each place of equally long words; -1 where there is none."""
+        codes = _codes(words)
+        k, n = codes.shape
+        out = np.full((k, n, min(n, self.longest)), -1, np.int32)
+        out[:, :, 0] = 0
+        h = self._start(codes)
+        for m in range(1, out.shape[2] + 1):
+            if m > 1:
+                h = self._next(h[:, : n - m + 1], codes[:, m - 1 :])
+            if m not in self.known:
+                continue
+            known, ids, spelt = self.known[m]
+            row, at = np.nonzero(self.bits[h >> np.uint64(64 - self._BITS)])
+            i = np.minimum(np.searchsorted(known, h[row, at]), len(known) - 1)
+            same = (spelt[i] == codes[row[:, None], at[:, None] + np.arange(m)]).all(axis=1)
+            row, at, i = row[same], at[same], i[same]
+            out[row, at + m - 1, m - 1] = ids[i]
+        return out
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -96,39 +131,78 @@ def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _scaled(ids: np.ndarray, p: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``forward``, or of the segmentations from each place on, as (a, s): they are a * exp(s)."""
+    words, n, longest = ids.shape
+    # id -1 reads the last row
+    p = np.concatenate([p, np.zeros((1, p.shape[1]))])
+    a = np.zeros((words, n + 1, p.shape[1]))
+    s = np.zeros_like(a)
+    a[:, n if back else 0] = 1.0
+    for j in range(1, n + 1):
+        m = np.arange(min(j, longest))
+        if back:
+            at, near, used = n - j, slice(n - j + 1, n - j + 1 + len(m)), ids[:, n - j + m, m]
+            prior = a[:, near]
+        else:
+            at, near, used = j, slice(j - len(m), j), ids[:, j - 1, : len(m)]
+            prior = a[:, near][:, ::-1]
+        a[:, at] = (prior * p[used]).sum(axis=1)
+        s[:, at] = s[:, at + 1 if back else at - 1]
+        if j % longest == 0:
+            recent = slice(at, at + longest) if back else slice(at - longest + 1, at + 1)
+            top = np.maximum(a[:, recent].max(axis=1, keepdims=True), 1e-300)
+            a[:, recent] /= top
+            s[:, recent] += np.log(top)
+    return a, s
+
+
+def log_likelihood(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of each word (word, language)."""
+    if ids.shape[1] <= LONG:
+        return np.log(np.maximum(forward(ids, p)[:, -1], 1e-300))
+    a, s = _scaled(ids, p)
+    return np.log(np.maximum(a[:, -1], 1e-300)) + s[:, -1]
+
+
 def expected(ids: np.ndarray, p: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
     """Add the expected uses of every piece, words weighing ``counts`` (word, language)."""
     words, n, longest = ids.shape
-    alpha = forward(ids, p)
-    beta = np.zeros_like(alpha)
-    beta[:, n] = 1.0
-    for j in range(n, 0, -1):
-        for m in range(1, min(j, longest) + 1):
-            at = np.flatnonzero(ids[:, j - 1, m - 1] >= 0)
-            if len(at):
-                beta[at, j - m] += beta[at, j] * p[ids[at, j - 1, m - 1]]
+    if n > LONG:
+        (alpha, up), (beta, down) = _scaled(ids, p), _scaled(ids, p, back=True)
+        level = up[:, n]
+    else:
+        alpha = forward(ids, p)
+        beta = np.zeros_like(alpha)
+        beta[:, n] = 1.0
+        for j in range(n, 0, -1):
+            for m in range(1, min(j, longest) + 1):
+                at = np.flatnonzero(ids[:, j - 1, m - 1] >= 0)
+                if len(at):
+                    beta[at, j - m] += beta[at, j] * p[ids[at, j - 1, m - 1]]
     scale = counts / np.maximum(alpha[:, n], 1e-300)
     for j in range(1, n + 1):
         for m in range(1, min(j, longest) + 1):
             at = np.flatnonzero(ids[:, j - 1, m - 1] >= 0)
             if len(at):
                 i = ids[at, j - 1, m - 1]
-                np.add.at(into, i, alpha[at, j - m] * p[i] * beta[at, j] * scale[at])
+                use = alpha[at, j - m] * p[i] * beta[at, j] * scale[at]
+                if n > LONG:
+                    use *= np.exp(up[at, j - m] + down[at, j] - level[at])
+                np.add.at(into, i, use)
 
 
-def fit(counts: dict[str, np.ndarray], langs: list[str], pieces: dict[str, int], iterations: int = ITERATIONS) -> np.ndarray:
+def fit(counts: dict[str, np.ndarray], langs: list[str], pieces: PieceIndex, iterations: int = ITERATIONS) -> np.ndarray:
     """Piece probabilities (piece, language) from word counts by language."""
     by_length: dict[int, list[tuple[str, np.ndarray]]] = defaultdict(list)
     for word, c in counts.items():
-        for s in stretches(word):
-            by_length[len(s)].append((s, c))
-    size = len(pieces) + 1
-    p = np.full((size, len(langs)), 1e-4)
+        by_length[len(word) + 1].append((_START + word, c))
+    p = np.full((pieces.size, len(langs)), 1e-4)
     lattices = {}
     for n, found in by_length.items():
         for lo in range(0, len(found), 20_000):
             part = found[lo : lo + 20_000]
-            lattices[n, lo] = lattice([w for w, _ in part], pieces), np.array([c for _, c in part], float)
+            lattices[n, lo] = pieces.lattice([w for w, _ in part]), np.array([c for _, c in part], float)
     for _ in range(iterations):
         use = np.full(p.shape, 0.02)
         for ids, c in lattices.values():
@@ -140,7 +214,7 @@ def fit(counts: dict[str, np.ndarray], langs: list[str], pieces: dict[str, int],
 class Scorer:
     """Log-likelihoods of texts under every language; words already met are looked up."""
 
-    def __init__(self, langs: list[str], pieces: dict[str, int], p: np.ndarray) -> None:
+    def __init__(self, langs: list[str], pieces: PieceIndex, p: np.ndarray) -> None:
         self.langs, self.pieces, self.p = langs, pieces, p
         self.known: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(langs)))
@@ -154,14 +228,11 @@ class Scorer:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for k, w in enumerate(words):
             self.known[w] = base + k
-            self.table[base + k] = 0.0
-            for s in stretches(w):
-                by_length[len(s)].append((s, base + k))
-        for n, found in by_length.items():
+            by_length[len(w)].append((_START + w, base + k))
+        for found in by_length.values():
             for lo in range(0, len(found), 8192):
                 part = found[lo : lo + 8192]
-                score = np.log(np.maximum(forward(lattice([s for s, _ in part], self.pieces), self.p)[:, n], 1e-300))
-                np.add.at(self.table, [i for _, i in part], score)
+                self.table[[i for _, i in part]] = log_likelihood(self.pieces.lattice([s for s, _ in part]), self.p)
 
     def score_block(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.langs:
@@ -204,7 +275,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOC
     for r in words.groupBy("lang", "word").count().toLocalIterator():
         for w in words_of(r[1]):
             found.setdefault(w, np.zeros(len(langs)))[langs.index(r[0])] += r[2]
-    return langs, fit(found, langs, load_pieces(path))
+    return langs, fit(found, langs, PieceIndex(load_pieces(path)))
 
 
 def _scored(docs: DataFrame, path: str, sample_docs: int, columns: list[str]) -> DataFrame:
@@ -214,7 +285,7 @@ def _scored(docs: DataFrame, path: str, sample_docs: int, columns: list[str]) ->
     wanted = docs.select(*columns, *([] if "text" in columns else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value[0], load_pieces(path), sent.value[1])
+        scorer = Scorer(sent.value[0], PieceIndex(load_pieces(path)), sent.value[1])
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
