@@ -2,7 +2,7 @@
 
 Texts and benchmark items are sequences of words (runs of letters and digits,
 lower-cased over A-Z). An item of L words leaks into a document if some passage
-of it is within L // 4 word edits of the item.
+of it is within L // 4 word edits of the item; so one of fewer than 4 words leaks where it stands word for word.
 
 Item-sized windows are embedded by CGK random walks, which map edit distance to
 Hamming distance: the walk copies the current word and steps on by a random bit
@@ -30,6 +30,7 @@ give no leaks.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -39,7 +40,6 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.textblocks import NOT_ALNUM, Words, mix, text_blocks
 
-LEAST_WORDS = 5
 #: Items in a broadcast block: at 60 words each about 15 MB.
 ITEM_BLOCK = 20_000
 #: Places sampled for a key, the least share of agreeing places counted on at the threshold, and the recall to reach.
@@ -48,6 +48,8 @@ SAMPLE, AGREEMENT, RECALL = 2, 0.3, 0.999
 PER_WALK = 5
 REPETITIONS = math.ceil(math.log(1 / (1 - RECALL)) / AGREEMENT**SAMPLE)
 _PAIR_BITS = 24
+#: Bytes of text whose windows are gathered at once.
+_TEXT_BYTES = 4 << 20
 
 
 def max_edits(length: int) -> int:
@@ -124,11 +126,12 @@ class Items:
             w = Words(data, offs, NOT_ALNUM)
             for r in range(len(offs) - 1):
                 h = w.hash[w.first[r] : w.first[r + 1]]
-                if len(h) >= LEAST_WORDS:
+                if len(h):
                     self.ids.append(rows[first + r][0])
                     self.words.append(h)
         self.bags = [Counter(h.tolist()) for h in self.words]
         self.pairs = np.zeros(1 << _PAIR_BITS, bool)
+        self.single = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h in self.words if len(h) == 1]]))
         by_length: dict[int, list[int]] = defaultdict(list)
         for i, h in enumerate(self.words):
             by_length[len(h)].append(i)
@@ -152,7 +155,11 @@ class Items:
     def _starts(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, window starts, their rows) of a block that can match an item of that length; a start may lie before its row."""
         h, n = w.hash, len(w.hash)
-        if n < LEAST_WORDS:
+        if len(self.single):
+            at = np.flatnonzero(np.isin(h, self.single))
+            if len(at):
+                yield 1, at, w.row[at]
+        if n < 2:
             return
         slots = _pair_slots(h)
         at = np.flatnonzero(self.pairs[slots])
@@ -166,6 +173,8 @@ class Items:
         place, of = place[by], of[by]
         row_end = w.first[w.row + 1]
         for length in self.tables:
+            if length == 1:
+                continue
             e = max_edits(length)
             mine = place[np.searchsorted(of, length, "left") : np.searchsorted(of, length, "right")]
             if not len(mine):
@@ -261,18 +270,35 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield block
 
 
+_READY: dict[str, Items] = {}
+
+
+def ready(name: str, rows: list[tuple[int | None, str]]) -> Items:
+    """The block of this name, prepared by the first task of a worker that needs it; a worker keeps one."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Items(rows)
+    return _READY[name]
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch of at most ``_TEXT_BYTES`` of text at a time; a longer text comes alone."""
+    for first, _, offs, _ in text_blocks(batch.column(column), _TEXT_BYTES):
+        yield batch.slice(first, len(offs) - 1)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, edits) for every document and item that leaks into it; n_words is the item's length."""
     spark = docs.sparkSession
     found = None
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                got = items.find(batch.column(1))
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            items = ready(name, sent.value)
+            for part in (x for batch in batches for x in _slices(batch, "text")):
+                ids = part.column(0).to_pylist()
+                got = items.find(part.column(1))
                 if got:
                     cols = [[ids[r] for r, _, _ in got], [items.ids[i] for _, i, _ in got], [len(items.words[i]) for _, i, _ in got], [e for _, _, e in got]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_words", "edits"])
@@ -287,14 +313,14 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     columns = docs.columns
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[r for r, _, _ in items.find(batch.column("text"))]] = False
-                yield batch.filter(pa.array(clean))
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            items = ready(name, sent.value)
+            for part in (x for batch in batches for x in _slices(batch, "text")):
+                clean = np.ones(part.num_rows, bool)
+                clean[[r for r, _, _ in items.find(part.column("text"))]] = False
+                yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs.select(*columns)
