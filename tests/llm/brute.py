@@ -113,7 +113,7 @@ def leaks(docs, items):
         w = plain_words(t)
         for i, x in items:
             p = plain_words(x)
-            if len(p) >= 5:
+            if p:
                 e = edit_distance_in(p, w)
                 if e <= len(p) // 4:
                     out.append((d, i, len(p), e))
