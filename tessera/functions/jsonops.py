@@ -54,3 +54,17 @@ def rows_to_columns(rows: Column, fields: tuple[str, ...]) -> Column:
 
 def columns_to_rows(columns: Column, fields: tuple[str, ...]) -> Column:
     return F.arrays_zip(*[columns[f].alias(f) for f in fields])
+
+
+def zip_by_position(a: Column, b: Column) -> Column:
+    """Array of (a, b) with the elements of one place together; the shorter is filled up with nulls."""
+    return F.arrays_zip(a.alias("a"), b.alias("b"))
+
+
+def map_ignoring_case(entries: Column) -> Column:
+    """A map of (key, value) entries by lower-case key, the last of equal keys winning."""
+    return entries_to_map(F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+def get_ignoring_case(m: Column, key: Column) -> Column:
+    return F.element_at(m, F.lower(key))

@@ -43,3 +43,46 @@ def ipv4_to_int(ip: Column) -> Column:
 
 def int_to_ipv4(n: Column) -> Column:
     return F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+
+
+def is_finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+def endpoint(text: Column) -> Column:
+    """(host, port) of ``host:port`` or ``[v6]:port``; null if the port isn't one."""
+    p = r"^(?:\[([0-9A-Fa-f:.]+)\]|([^:\s\[\]]+)):([0-9]{1,5})$"
+    host = F.concat(F.regexp_extract(text, p, 1), F.regexp_extract(text, p, 2))
+    port = F.regexp_extract(text, p, 3).try_cast("int")
+    return F.when(text.rlike(p) & (port <= 65535), F.struct(host.alias("host"), port.alias("port")))
+
+
+# bit arrays: words of 64 bits, the lowest first
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
+
+
+def bits_set(words: Column, i: Column, on: bool = True) -> Column:
+    at = F.floor(i / 64)
+    put = (lambda x: x.bitwiseOR(_bit(i))) if on else (lambda x: x.bitwiseAND(F.bitwise_not(_bit(i))))
+    return F.transform(words, lambda x, k: F.when(k == at, put(x)).otherwise(x))
+
+
+def bits_get(words: Column, i: Column) -> Column:
+    return F.get(words, F.floor(i / 64).cast("int")).bitwiseAND(_bit(i)) != 0
+
+
+def bits_cleared(words: Column, n: Column) -> Column:
+    """The first ``n`` bits cleared."""
+    low = F.call_function("shiftleft", F.lit(-1).cast("long"), (n % 64).cast("int"))
+    return F.transform(words, lambda x, k: F.when(k < F.floor(n / 64), F.lit(0).cast("long")).when(k == F.floor(n / 64), x.bitwiseAND(low)).otherwise(x))
+
+
+def bits_first(words: Column, begin: Column, end: Column) -> Column:
+    """The first bit set in [begin, end); ``end`` if there is none."""
+    seen = bits_cleared(words, begin)
+    # x & -x leaves the lowest bit, and that less one as many ones as its place
+    places = F.transform(seen, lambda x, k: F.when(x == -(1 << 63), k * 64 + 63).when(x != 0, k * 64 + F.bit_count(x.bitwiseAND(-x) - 1)))
+    return F.coalesce(F.least(F.array_min(F.filter(places, lambda x: x.isNotNull())), end), end)

@@ -203,3 +203,145 @@ def query_without(query: Column, *keys: str) -> Column:
     """A query string without the pairs of some keys; order is kept."""
     keep = F.filter(F.split(query, "&", -1), lambda p: ~F.split(p, "=", -1)[0].isin(list(keys)) & (p != ""))
     return F.array_join(keep, "&")
+
+
+def quoted_tokens(s: Column, delims: str, quotes: str = "", keep_delims: bool = False) -> Column:
+    """Tokens between delimiters; within quotes these are ordinary and a backslash escapes. An open quote runs to the end.
+
+    With ``keep_delims`` every delimiter is a token too. A character that is both counts as a delimiter.
+    """
+    quotes = "".join(q for q in quotes if q not in delims)
+    parts = [f"[^{_quote(delims + quotes)}]++"] + [rf"{_quote(q)}(?:\\.|[^{_quote(q)}\\])*+(?:{_quote(q)}|\\?\z)" for q in quotes]
+    token = f"(?s)(?:{'|'.join(parts)})++" + (f"|[{_quote(delims)}]" if keep_delims else "")
+    return F.regexp_extract_all(s, F.lit(token), F.lit(0))
+
+
+#: Code points that are no characters.
+_NO_CHARACTER = "[\\x{FDD0}-\\x{FDEF}" + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(17)) + "]"
+
+
+def is_utf8_text(raw: Column) -> Column:
+    """Whether bytes are UTF-8 of characters; code points set aside as no characters fail."""
+    text = F.try_validate_utf8(raw.cast("string"))
+    return F.coalesce(~text.rlike(_NO_CHARACTER), F.lit(False))
+
+
+def _ascii_lower(s: Column) -> Column:
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def equals_ignoring_case(a: Column, b: Column, first: int | None = None) -> Column:
+    """Equal but for the case of ASCII letters, as a whole or over the ``first`` characters."""
+    if first is not None:
+        a, b = F.substring(a, 1, first), F.substring(b, 1, first)
+    return _ascii_lower(a) == _ascii_lower(b)
+
+
+def hex_digit(c: Column) -> Column:
+    """Value of a hexadecimal digit, null of anything else."""
+    return F.when(c.rlike("^[0-9A-Fa-f]$"), F.conv(c, 16, 10).cast("int"))
+
+
+def find(s: Column, what: Column, start: int = 0) -> Column:
+    """Place, from 0, of the first occurrence at or after ``start``; -1 if there is none."""
+    at = F.position(what, s, F.lit(start + 1))
+    return at - 1
+
+
+def rfind(s: Column, what: Column) -> Column:
+    """Place of the last occurrence; -1 if there is none."""
+    at = F.position(F.reverse(what), F.reverse(s))
+    return F.when(at > 0, F.char_length(s) - F.char_length(what) - at + 1).otherwise(F.lit(-1))
+
+
+def find_first_of(s: Column, chars: str, negated: bool = False) -> Column:
+    """Place of the first character that is one of ``chars``, or isn't; -1 if there is none."""
+    head = F.regexp_extract(s, f"(?s)^[{'' if negated else '^'}{_quote(chars)}]*", 0)
+    return F.when(F.char_length(head) < F.char_length(s), F.char_length(head)).otherwise(F.lit(-1))
+
+
+def find_last_of(s: Column, chars: str, negated: bool = False) -> Column:
+    at = find_first_of(F.reverse(s), chars, negated)
+    return F.when(at >= 0, F.char_length(s) - 1 - at).otherwise(F.lit(-1))
+
+
+def without_ends(s: Column, prefix: int = 0, suffix: int = 0) -> Column:
+    """The string less its first and last characters."""
+    return F.substring(s, F.lit(prefix + 1), F.greatest(F.lit(0), F.char_length(s) - prefix - suffix))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the order of bytes."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def to_double(s: Column) -> Column:
+    """(ok, value) of a strict decimal number; null value if it isn't one or isn't finite."""
+    value = F.when(s.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    value = F.when(F.abs(value) < float("inf"), value)
+    return F.struct(value.isNotNull().alias("ok"), value.alias("value"))
+
+
+def to_unsigned(s: Column) -> Column:
+    """(ok, value) of a strict unsigned 64-bit number."""
+    value = F.when(s.rlike(r"^\+?[0-9]+$"), s.try_cast("decimal(20,0)"))
+    value = F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value)
+    return F.struct(value.isNotNull().alias("ok"), value.alias("value"))
+
+
+def hex_to_int(s: Column, bits: int = 64) -> Column:
+    """(ok, value) of a hexadecimal number with or without sign and 0x, within so many bits with sign."""
+    digits = F.ltrim(F.regexp_extract(s, "^[+-]?(?:0[xX])?([0-9A-Fa-f]+)$", 1), F.lit("0"))
+    good = s.rlike("^[+-]?(?:0[xX])?[0-9A-Fa-f]+$") & (F.char_length(digits) <= 16)
+    size = F.conv(F.when(good & (digits != ""), digits).otherwise("0"), 16, 10).cast("decimal(20,0)")
+    value = F.when(s.startswith("-"), -size).otherwise(size)
+    inside = (value >= F.lit(str(-(1 << bits - 1))).cast("decimal(20,0)")) & (value <= F.lit(str((1 << bits - 1) - 1)).cast("decimal(20,0)"))
+    value = F.when(good & inside, value.cast("long"))
+    return F.struct(value.isNotNull().alias("ok"), value.alias("value"))
+
+
+def hex_to_bytes(s: Column) -> Column:
+    """Bytes of an even, not empty number of hexadecimal digits; else null."""
+    return F.when(s.rlike("^(?:[0-9A-Fa-f]{2})+$"), F.unhex(s))
+
+
+def to_utf16(s: Column) -> Column:
+    return F.encode(s, "UTF-16LE")
+
+
+def from_utf16(raw: Column) -> Column:
+    return F.decode(raw, "UTF-16LE")
+
+
+def from_latin1(raw: Column) -> Column:
+    return F.decode(raw, "ISO-8859-1")
+
+
+def utf16_offset(s: Column, at: Column) -> Column:
+    """Place in UTF-16 units of the character at place ``at``, from 0."""
+    return (F.octet_length(to_utf16(F.substring(s, F.lit(1), at))) / 2).cast("int")
+
+
+def utf8_offset(s: Column, at: Column) -> Column:
+    """Place in bytes of the character at place ``at``, from 0."""
+    return F.octet_length(F.substring(s, F.lit(1), at))
+
+
+def encode_name(s: Column) -> Column:
+    """A name of letters, digits and underscores only, no digit first: other bytes become ``_Zddd_``."""
+
+    def one(h: Column, i: Column) -> Column:
+        n = F.conv(h, 16, 10).cast("int")
+        c = F.char(n)
+        plain = (n < 128) & c.rlike("^[A-Za-z0-9_]$") & ~((i == 0) & c.rlike("^[0-9]$"))
+        return F.when(plain, c).otherwise(F.concat(F.lit("_Z"), F.lpad(n.cast("string"), 3, "0"), F.lit("_")))
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(s), F.lit("(..)"), F.lit(1)), one), "")
+
+
+def decode_name(s: Column) -> Column:
+    """The string that ``encode_name`` was given; ``_Zddd_`` above 255 stays as it is."""
+    p = "_Z(25[0-5]|2[0-4][0-9]|[01][0-9][0-9])_"
+    codes = F.transform(F.regexp_extract_all(s, F.lit(p), F.lit(1)), lambda c: F.lpad(F.hex(c.cast("int")), 2, "0"))
+    rest = F.transform(F.split(s, p, -1), F.hex)
+    return F.decode(F.unhex(F.array_join(F.zip_with(rest, codes, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")), "UTF-8")

@@ -27,13 +27,14 @@ def ketama_ring(servers: DataFrame, name: str, word: Callable[[Column, int], Col
     return d.groupBy("point").agg(F.min("server").alias("server"))
 
 
-def lookup(requests: DataFrame, code: str, points: DataFrame, buckets: int = 512) -> DataFrame:
-    """``requests`` with the server of the first point at or after their code, around the ring.
+def lookup(requests: DataFrame, code: str, points: DataFrame, buckets: int = 512, space: int = 1 << 32) -> DataFrame:
+    """``requests`` with the server of the first point at or after their code, around the ring; codes lie in [0, space).
 
     A forward as-of join by union and frame. The code space is cut into ranges, each a partition of its
     own that starts from the first point of the ranges after it, so no task sees the whole ring of requests.
     """
-    width = -(-(1 << 32) // buckets)
+    buckets = max(1, min(buckets, space))
+    width = -(-space // buckets)
     first = points.groupBy(F.floor(F.col("point") / width).cast("int").alias("b")).agg(F.min("point").alias("p"), F.min_by("server", "point").alias("s"))
     spine = points.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     after = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
@@ -65,23 +66,25 @@ def weighted_round_robin(requests: DataFrame, seq: str, servers: DataFrame) -> D
 
     A server owns the slots of the cycle up to its cumulative weight; the cycle is walked with a coprime stride.
     """
-    w = Window.orderBy("server").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = servers.select("server", F.sum("weight").over(w).alias("hi"), F.col("weight")).withColumn("lo", F.col("hi") - F.col("weight"))
     total = servers.agg(F.sum("weight")).first()[0]
     stride = max(1, int(total * 0.618))
     while gcd(stride, total) != 1:
         stride += 1
-    slot = F.pmod(F.col(seq) * F.lit(stride), F.lit(total))
-    r = requests.withColumn("slot", slot)
-    return r.join(F.broadcast(s), (F.col("slot") >= F.col("lo")) & (F.col("slot") < F.col("hi"))).drop("lo", "hi", "weight")
+    r = requests.withColumn("slot", F.pmod(F.col(seq) * F.lit(stride), F.lit(total)))
+    return lookup(r, "slot", _slots(servers), space=total)
+
+
+def _slots(servers: DataFrame) -> DataFrame:
+    """(point, server): the last slot of each server when they lie side by side, as many slots each as its weight; the window is over one row a server."""
+    upto = F.sum("weight").over(Window.orderBy("server").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return servers.where("weight > 0").select((upto - 1).cast("long").alias("point"), "server")
 
 
 def weighted_pick(requests: DataFrame, uniform: Column, servers: DataFrame) -> DataFrame:
-    """A server in proportion to its weight, by a uniform number of each request. ``servers`` (server, weight) are few."""
-    w = Window.orderBy("server").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy()
-    s = servers.select("server", (F.sum("weight").over(w) / F.sum("weight").over(total)).alias("hi"), (F.sum("weight").over(w) / F.sum("weight").over(total) - F.col("weight") / F.sum("weight").over(total)).alias("lo"))
-    return requests.withColumn("_u", uniform).join(F.broadcast(s), (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).drop("_u", "lo", "hi")
+    """A server in proportion to its weight (a whole number), by a uniform number in [0, 1) of each request: a look-up among slots, not a range join."""
+    total = servers.agg(F.sum("weight")).first()[0]
+    r = requests.withColumn("_slot", F.floor(uniform * F.lit(float(total))).cast("long"))
+    return lookup(r, "_slot", _slots(servers), space=total).drop("_slot")
 
 
 def partition_tag(tag: Column) -> Column:
@@ -100,3 +103,82 @@ def scatter_gather(calls: DataFrame, request: str, failed: Column, value: Column
 def reject_rate(usable: Column, min_working: Column) -> Column:
     """Share of requests turned away while a cluster recovers."""
     return F.greatest(F.lit(0.0), 1.0 - usable / min_working)
+
+
+def keep_servers(servers: DataFrame, accept: Column) -> DataFrame:
+    """The servers a watcher's filter accepts."""
+    return servers.where(accept)
+
+
+def feed(new: DataFrame, old: DataFrame, key: str, watchers: dict[str, Column]) -> DataFrame:
+    """(watcher, key, change) for each watcher what was added and removed among the servers its filter accepts."""
+    from tessera.operators.trace import snapshot_diff
+
+    out = None
+    for name, accept in watchers.items():
+        d = snapshot_diff(keep_servers(new, accept), keep_servers(old, accept), key).select(F.lit(name).alias("watcher"), key, "change")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def sub_calls(calls: DataFrame, request: str, action: Column, failed: Column, value: Column, fail_limit: int | None = None) -> DataFrame:
+    """``scatter_gather`` of mapped sub-calls: those with action ``skip`` aren't made, one with ``bad`` fails its request."""
+    d = calls.withColumn("_a", action)
+    bad = d.groupBy(request).agg(F.max((F.col("_a") == "bad").cast("int")).alias("_bad"), F.count(F.when(F.col("_a") != "skip", 1)).alias("_n"))
+    got = scatter_gather(d.where("_a <> 'skip'"), request, failed, value, fail_limit)
+    d = bad.join(got, request, "left")
+    return d.select(request, F.when(F.col("_bad") == 0, F.coalesce("value", F.lit(0))).otherwise(F.lit(0)).alias("value"), (F.coalesce("ok", F.lit(False)) & (F.col("_bad") == 0)).alias("ok"))
+
+
+def randomized(requests: DataFrame, draw: Column, stride: int, alive: list[bool]) -> DataFrame:
+    """``requests`` with the first server alive from a drawn start on, in steps that share no divisor with their number; null if none is."""
+    n = len(alive)
+    while gcd(stride, n) != 1:
+        stride += 1
+    up = F.array(*[F.lit(x) for x in alive])
+    walk = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.floor(draw * n) + i * stride, F.lit(n)).cast("int"))
+    return requests.withColumn("server", F.get(F.filter(walk, lambda s: F.get(up, s)), 0))
+
+
+def dynamic_partitions(requests: DataFrame, uniform: Column, servers: DataFrame) -> DataFrame:
+    """``requests`` with the partitioning (of so many parts) that serves each, by the servers that each has; one that lacks a part takes none; null if all do.
+
+    ``servers`` is (server, tag) with tags ``N/M``. Each request then goes to one server of every part.
+    """
+    p = servers.select(partition_tag(F.col("tag")).alias("p")).where("p.index < p.total").groupBy(F.col("p.total").alias("total")).agg(F.count_distinct("p.index").alias("parts"), F.count("*").alias("weight"))
+    whole = p.where("parts = total").select(F.col("total").alias("server"), "weight")
+    if whole.limit(1).count() == 0:
+        return requests.withColumn("parts", F.lit(None).cast("int"))
+    return weighted_pick(requests, uniform, whole).withColumnRenamed("server", "parts")
+
+
+def retried(attempts: DataFrame, request: str, order: str, failed: Column, retriable: Column, max_retry: int) -> DataFrame:
+    """(request, attempt, ok): which of a request's attempts in order its answer is: the first that succeeds or mustn't be tried again, or the last allowed.
+
+    The attempts are those of one request, at most ``max_retry`` + 1 are looked at.
+    """
+    w = Window.partitionBy(request).orderBy(order)
+    d = attempts.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") <= max_retry)
+    last = F.max(F.col("_i")).over(Window.partitionBy(request))
+    d = d.withColumn("_f", failed).withColumn("_end", ~F.col("_f") | ~retriable | (F.col("_i") == last))
+    best = d.where("_end").groupBy(request).agg(F.min_by(F.struct("_i", "_f"), "_i").alias("r"))
+    return best.select(request, F.col("r._i").cast("int").alias("attempt"), (~F.col("r._f")).alias("ok"))
+
+
+def backup(first_us: Column, second_us: Column, after_us: int) -> Column:
+    """(us, backed_up): when a call with a backup is over, a second one being sent if the first takes longer than ``after_us``."""
+    sent = first_us > after_us
+    return F.struct(F.when(sent, F.least(first_us, second_us + after_us)).otherwise(first_us).alias("us"), (sent & (second_us + after_us < first_us)).alias("backed_up"))
+
+
+def constant_limit(requests: DataFrame, key: str, begin: str, end: str, limit: int) -> DataFrame:
+    """``requests`` (sorted in time by ``begin``) with how many of their key are under way, themselves included, and whether that is within the limit.
+
+    Starts count up and ends count down along one frame for each key; an end at the time of a start comes first.
+    """
+    d = requests.withColumn("_id", F.struct(begin, end, *[c for c in requests.columns if c not in (key, begin, end)]))
+    ends = d.select(key, F.col(end).alias("_at"), F.lit(-1).alias("_step"), F.lit(None).cast(d.schema["_id"].dataType).alias("_id"))
+    u = d.select(key, F.col(begin).alias("_at"), F.lit(1).alias("_step"), "_id").unionByName(ends)
+    w = Window.partitionBy(key).orderBy("_at", "_step", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = u.withColumn("under_way", F.sum("_step").over(w)).where("_step = 1")
+    return found.select(key, "_id.*", F.col("under_way").cast("long").alias("under_way"), (F.col("under_way") <= limit).alias("admitted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,9 +97,12 @@ def cdf(rows: DataFrame, value: str) -> DataFrame:
 
 def dense(ticks: DataFrame, keys: list[str], tick: str, values: dict[str, object], step: int = 1) -> DataFrame:
     """Ticks without gaps from the first to the last of all, missing ones filled: the sampler has a value every tick."""
-    span = ticks.agg(F.min(tick).alias("lo"), F.max(tick).alias("hi"))
-    spine = span.select(F.explode(F.sequence("lo", "hi", F.lit(step))).alias(tick))
-    full = ticks.select(*keys).distinct().join(F.broadcast(spine)) if keys else spine
+    lo, hi = ticks.agg(F.min(tick), F.max(tick)).first()
+    if lo is None:
+        return ticks.fillna(values)
+    # two numbers go to the driver; each key's ticks are made where the key is
+    each = F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias(tick)
+    full = ticks.select(*keys).distinct().select(*keys, each) if keys else ticks.sparkSession.range(lo, hi + 1, step).select(F.col("id").alias(tick))
     return full.join(ticks, [*keys, tick], "left").fillna(values)
 
 
@@ -166,3 +171,36 @@ def sample_adaptive(rows: DataFrame, tick: str, uniform: Column, target: int) ->
     n = rows.groupBy(tick).agg(F.count("*").alias("rate"))
     d = rows.join(n, tick)
     return d.where(uniform < F.least(F.lit(1.0), F.lit(float(target)) / F.col("rate"))).drop("rate")
+
+
+def reduce_by(rows: DataFrame, keys: list[str], value: Column, op: Callable[[Column, Column], Column], identity: Column, name: str = "value") -> DataFrame:
+    """Values of each key reduced by an associative, commutative operation: first what a task has of a key, then the tasks' results."""
+    d = rows.select(*keys, value.alias("_v"), F.spark_partition_id().alias("_part"))
+    fold = lambda c: F.aggregate(F.collect_list(c), identity, op)
+    return d.groupBy(*keys, "_part").agg(fold("_v").alias("_v")).groupBy(*keys).agg(fold("_v").alias(name))
+
+
+def stat(x: Column) -> Column:
+    """(sum, num): the state of an average."""
+    return F.struct(F.coalesce(F.sum(x), F.lit(0)).alias("sum"), F.count(x).alias("num"))
+
+
+def merged_stat(a: Column, b: Column, unmerge: bool = False) -> Column:
+    """Two states joined, or the second taken out of the first."""
+    sign = -1 if unmerge else 1
+    return F.struct((a["sum"] + sign * b["sum"]).alias("sum"), (a["num"] + sign * b["num"]).alias("num"))
+
+
+def derived(rows: DataFrame, **metrics: Column) -> DataFrame:
+    """``rows`` with metrics that are computed when they are read."""
+    return rows.withColumns(metrics)
+
+
+def timed(rows: DataFrame, key: str, begin: str, end: str, elapsed_us: int) -> DataFrame:
+    """The latency bundle of scopes or locks, from when each began and ended."""
+    return latency_bundle(rows.withColumn("_took", F.col(end) - F.col(begin)), key, "_took", elapsed_us)
+
+
+def counter_bundle(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Average, maximum, count and percentiles of a counter; it has no rate."""
+    return latency_bundle(rows, key, value, 1).drop("qps")

@@ -79,6 +79,22 @@ def mru(rows: DataFrame, key: str, seq: str, n: int) -> DataFrame:
     return rows.groupBy(key).agg(F.max(seq).alias("last_touch")).orderBy(F.col("last_touch").desc(), key).limit(n)
 
 
+def mru_state(ops: DataFrame, key: str, seq: str, op: str, n: int) -> DataFrame:
+    """The ``n`` keys touched last, newest first, after puts, gets, peeks and erases in order: a peek is no touch, and an erased key is gone until it is put again."""
+    touch = F.max(F.when(F.col(op).isin("put", "get"), F.col(seq)))
+    put, gone = F.max(F.when(F.col(op) == "put", F.col(seq))), F.max(F.when(F.col(op) == "erase", F.col(seq)))
+    g = ops.groupBy(key).agg(touch.alias("last_touch"), put.alias("_put"), gone.alias("_gone"))
+    return g.where("_put IS NOT NULL AND (_gone IS NULL OR _put > _gone)").select(key, "last_touch").orderBy(F.col("last_touch").desc(), key).limit(n)
+
+
+def is_sorted(rows: DataFrame, place: str, value: str) -> DataFrame:
+    """(is_sorted): whether values never fall in order of a numeric place; by ranges, no task holds all rows."""
+    from tessera.operators.ranking import running_max_before
+
+    d = rows.select(F.col(place).alias("_place"), F.col(value).alias("_value"))
+    return running_max_before(d, "_place", "_value", "_high").agg((F.count(F.when(F.col("_high") > F.col("_value"), 1)) == 0).alias("is_sorted"))
+
+
 def match_rules(rows: DataFrame, path: str, rules: list[str]) -> DataFrame:
     """``rows`` with the most specific rule ``prefix*postfix`` (or exact path) that fits, null if none.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Plan modules, each with QUERIES and ORACLES.
-MODULES = ("kv_plans", "metric_plans", "trace_plans", "scalar_plans", "learn_plans")
+MODULES = ("kv_plans", "metric_plans", "trace_plans", "scalar_plans", "learn_plans", "more_plans")
 
 
 def queries() -> dict[str, Query]:

@@ -10,13 +10,17 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Field types of the format.
 OBJECT, ARRAY, ISOARRAY, OBJECTISOARRAY, STRING, BINARY = 0x10, 0x20, 0x30, 0x40, 0x50, 0x60
-INT64, DOUBLE, BOOL, NULL = 0x18, 0x48, 0x31, 0x61
-_SHORT = 0x80
+INT64, DOUBLE, BOOL, DATE, NULL = 0x18, 0x48, 0x31, 0x58, 0x61
+#: Of the fixed types the low half byte is the width; the form in which each is stored.
+FORMS = {0x11: "b", 0x12: "h", 0x14: "i", INT64: "q", 0x21: "B", 0x22: "H", 0x24: "I", 0x28: "Q", BOOL: "?", 0x44: "f", DOUBLE: "d", DATE: "q"}
+_TYPED = {np.int8: 0x11, np.int16: 0x12, np.int32: 0x14, np.int64: INT64, np.uint8: 0x21, np.uint16: 0x22, np.uint32: 0x24, np.uint64: 0x28, np.float32: 0x44, np.float64: DOUBLE, int: INT64, float: DOUBLE}
+_SHORT, _WIDTH, _LIVE = 0x80, 0x0F, 0x70
 DEEPEST = 128
 
 
@@ -29,7 +33,7 @@ def _head(kind: int, name: bytes, size: int) -> bytes:
 
 
 def pack(value: Any, name: str = "", depth: int = 0) -> bytes:
-    """A JSON-like value as a self-describing field. Lists of objects with one set of keys go column by column."""
+    """A JSON-like value as a self-describing field; NumPy scalars keep their width. Lists of objects with one set of keys go column by column."""
     if depth > DEEPEST:
         raise ValueError("nested too deeply")
     key = name.encode()
@@ -38,10 +42,11 @@ def pack(value: Any, name: str = "", depth: int = 0) -> bytes:
         return fixed(NULL, b"\0")
     if isinstance(value, bool):
         return fixed(BOOL, bytes([value]))
-    if isinstance(value, int):
-        return fixed(INT64, struct.pack("<q", value))
-    if isinstance(value, float):
-        return fixed(DOUBLE, struct.pack("<d", value))
+    if type(value) in _TYPED:
+        kind = _TYPED[type(value)]
+        if kind == INT64 and value >= 1 << 63:
+            kind = 0x28
+        return fixed(kind, struct.pack("<" + FORMS[kind], value))
     if isinstance(value, str):
         raw = value.encode() + b"\0"
         return _head(STRING, key, len(raw)) + raw
@@ -55,9 +60,9 @@ def pack(value: Any, name: str = "", depth: int = 0) -> bytes:
         columns = {k: [x[k] for x in items] for k in items[0]}
         body = struct.pack("<I", len(columns)) + b"".join(pack(v, k, depth + 1) for k, v in columns.items())
         return _head(OBJECTISOARRAY, key, len(body)) + body
-    if items and all(type(x) in (int, float) and type(x) is type(items[0]) for x in items):
-        kind = INT64 if isinstance(items[0], int) else DOUBLE
-        body = bytes([kind]) + struct.pack(f"<{len(items)}{'q' if kind == INT64 else 'd'}", *items)
+    if items and type(items[0]) in _TYPED and all(type(x) is type(items[0]) for x in items):
+        kind = _TYPED[type(items[0])]
+        body = bytes([kind]) + struct.pack(f"<{len(items)}{FORMS[kind]}", *items)
         return _head(ISOARRAY, key, len(body)) + body
     body = struct.pack("<I", len(items)) + b"".join(pack(v, "", depth + 1) for v in items)
     return _head(ARRAY, key, len(body)) + body
@@ -72,19 +77,19 @@ def _field(data: bytes, at: int, depth: int) -> tuple[str, Any, int]:
         raise ValueError("nested too deeply")
     kind, n = data[at], data[at + 1]
     at += 2
-    short, kind_ = bool(kind & _SHORT), kind & ~_SHORT
+    width = kind & _WIDTH
+    short, kind_ = bool(kind & _SHORT) and not width, kind if width else kind & ~_SHORT
     size = None
-    if kind_ in (OBJECT, ARRAY, ISOARRAY, OBJECTISOARRAY, STRING, BINARY):
+    if not width:
         size = data[at] if short else struct.unpack_from("<I", data, at)[0]
         at += 1 if short else 4
     name = data[at : at + n - 1].decode() if n else ""
     at += n
     if size is None:
-        if kind_ == NULL:
-            return name, None, at + 1
-        if kind_ == BOOL:
-            return name, bool(data[at]), at + 1
-        return name, struct.unpack_from("<q" if kind_ == INT64 else "<d", data, at)[0], at + 8
+        if at + width > len(data):
+            raise ValueError("field runs over the end")
+        # a kind that isn't known is stepped over by its width
+        return name, struct.unpack_from("<" + FORMS[kind_], data, at)[0] if kind_ in FORMS else None, at + width
     end = at + size
     if end > len(data):
         raise ValueError("field runs over the end")
@@ -93,14 +98,19 @@ def _field(data: bytes, at: int, depth: int) -> tuple[str, Any, int]:
     if kind_ == BINARY:
         return name, data[at:end], end
     if kind_ == ISOARRAY:
-        form = "q" if data[at] == INT64 else "d"
-        return name, list(struct.unpack_from(f"<{(size - 1) // 8}{form}", data, at + 1)), end
+        item = data[at]
+        if item not in FORMS or (size - 1) % (item & _WIDTH):
+            raise ValueError("array of an unknown type or of broken items")
+        return name, list(struct.unpack_from(f"<{(size - 1) // (item & _WIDTH)}{FORMS[item]}", data, at + 1)), end
     count = struct.unpack_from("<I", data, at)[0]
     at += 4
     found = []
     for _ in range(count):
+        live = data[at] & _LIVE
         k, v, at = _field(data, at, depth + 1)
-        found.append((k, v))
+        # deleted fields count, but aren't values
+        if live:
+            found.append((k, v))
     if kind_ == OBJECT:
         return name, dict(found), end
     if kind_ == OBJECTISOARRAY:
@@ -117,12 +127,34 @@ def _bytes_udf(f: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
     return F.pandas_udf(apply, "binary")
 
 
+def _snappy(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="snappy", asbytes=True)
+
+
+def _unsnappy(raw: bytes) -> bytes:
+    """A raw block starts with its size, seven bits a byte, the lowest first."""
+    size = shift = 0
+    for b in raw:
+        size |= (b & 0x7F) << shift
+        shift += 7
+        if b < 0x80:
+            break
+    return pa.decompress(raw, decompressed_size=size, codec="snappy", asbytes=True)
+
+
+_COMPRESS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
+    "gzip": (lambda b: gzip.compress(b, mtime=0), gzip.decompress),
+    "zlib": (zlib.compress, zlib.decompress),
+    "snappy": (_snappy, _unsnappy),
+}
+
+
 def compress(col: Column, kind: str = "gzip") -> Column:
-    return _bytes_udf((lambda b: gzip.compress(b, mtime=0)) if kind == "gzip" else zlib.compress)(col)
+    return _bytes_udf(_COMPRESS[kind][0])(col)
 
 
 def decompress(col: Column, kind: str = "gzip") -> Column:
-    return _bytes_udf(gzip.decompress if kind == "gzip" else zlib.decompress)(col)
+    return _bytes_udf(_COMPRESS[kind][1])(col)
 
 
 def encode_key(kind: int, table: Column, pid: Column, key: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.ranking import ranked
 
@@ -43,12 +44,28 @@ def import_ampersand(lines: DataFrame, skip: int = 0) -> DataFrame:
 def read_slice(spark: SparkSession, path: str, offset: int, size: int) -> DataFrame:
     """Pairs of the CSV lines [offset, offset + size) of a file, in order.
 
-    A file's line number isn't in its splits, so lines get ids that grow along the file and the slice is a
-    bounded top-n of those ids.
+    Lines get ids that grow along the file; their split's number and their place in it. Lines are counted by split, so
+    the slice's splits are known and nothing is sorted but the slice.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    part = lines.orderBy("at").offset(offset).limit(size)
-    return import_pairs(part, ",")
+    split = F.shiftright(F.col("at"), 33)
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("split", split)
+    # one row for each split
+    before = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    counts = lines.groupBy("split").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    counts = counts.where((F.col("before") < offset + size) & (F.col("before") + F.col("n") > offset)).select(F.col("split").alias("s"), "before")
+    place = F.col("at").bitwiseAND((1 << 33) - 1) + F.col("before")
+    part = lines.join(counts, F.col("split") == F.col("s")).withColumn("place", place).where((F.col("place") >= offset) & (F.col("place") < offset + size))
+    return import_pairs(part.orderBy("place"), ",")
+
+
+def save_pairs(rows: DataFrame, path: str) -> None:
+    """Pairs as CSV lines ``key,value``, as ``read_slice`` takes them; keys and values hold no comma or line break."""
+    rows.select(F.concat_ws(",", "key", "value").alias("value")).write.text(path)
+
+
+def load_live(spark: SparkSession, path: str, now: int) -> DataFrame:
+    """A whole table of (key, value, expired) without the rows that have expired."""
+    return spark.read.parquet(path).where((F.col("expired") == 0) | (F.col("expired") > now))
 
 
 def synthetic(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
@@ -79,9 +96,62 @@ def consul(json: Column) -> Column:
     return F.transform(F.from_json(json, kind), lambda s: F.struct(s["Service"]["Address"].alias("host"), s["Service"]["Port"].alias("port"), F.get(s["Service"]["Tags"], 0).alias("tag")))
 
 
-def dump_requests(rows: DataFrame, path: str, fraction: float, seed: int, per_file: int = 1000) -> None:
-    """A sample of requests as JSON lines, so many to a file."""
-    rows.sample(fraction=fraction, seed=seed).write.option("maxRecordsPerFile", per_file).mode("overwrite").json(path)
+def dump_requests(rows: DataFrame, path: str, fraction: float, seed: int, per_file: int = 1000, files: int | None = None, order: str | None = None) -> None:
+    """A sample of requests as JSON lines, so many to a file; with a bound of files the newest by ``order`` stay."""
+    d = rows.sample(fraction=fraction, seed=seed)
+    if files is not None:
+        # at most files * per_file rows, a bounded top-n
+        d = d.orderBy(F.col(order).desc()).limit(files * per_file)
+    d.write.option("maxRecordsPerFile", per_file).mode("overwrite").json(path)
+
+
+def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Requests of a dump's files with the file each is from; lines that are none come back with ``bad`` set."""
+    d = spark.read.schema(schema + ", bad string").option("columnNameOfCorruptRecord", "bad").json(path)
+    return d.withColumn("file", F.input_file_name())
+
+
+def load_json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """(request, ok) of JSON lines in column ``value``; blank lines drop out."""
+    d = lines.where(F.trim("value") != "").select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return d.select(F.col("r").dropFields("_bad").alias("request"), F.col("r._bad").isNull().alias("ok"))
+
+
+def save_json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.json(path)
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of the files below a folder whose name fits a glob; their contents aren't read."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return d.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def save_snapshot(state: DataFrame, path: str, index: int) -> None:
+    """The state after log entry ``index``, in a folder of its own."""
+    state.write.mode("overwrite").parquet(f"{path}/index={index}")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The latest snapshot below a path, and the log entry it was taken after."""
+    d = spark.read.parquet(path)
+    last = d.agg(F.max("index")).first()[0]
+    return d.where(F.col("index") == last).drop("index"), last
+
+
+def read_blocks(writes: DataFrame, block: str, order: str, offset: int, size: int) -> DataFrame:
+    """(block, data): the bytes [offset, offset + size) of each block after writes (block, order, at, data); what wasn't written reads 0.
+
+    Only bytes of the range are laid out, ``size`` of each block at most.
+    """
+    end = F.col("at") + F.octet_length("data")
+    d = writes.where((F.col("at") < offset + size) & (end > offset))
+    places = F.sequence(F.greatest(F.col("at"), F.lit(offset).cast("long")), F.least(end, F.lit(offset + size).cast("long")) - 1)
+    d = d.select(block, order, "at", "data", F.explode(places).alias("place"))
+    d = d.groupBy(block, "place").agg(F.max_by(F.hex(F.substring(F.col("data"), (F.col("place") - F.col("at") + 1).cast("int"), F.lit(1))), order).alias("x"))
+    known = d.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"))
+    whole = F.transform(F.sequence(F.lit(offset).cast("long"), F.lit(offset + size - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit("00")))
+    return known.select(block, F.unhex(F.array_join(whole, "")).alias("data"))
 
 
 def replay(rows: DataFrame, order: str, times: int, qps: float) -> DataFrame:
