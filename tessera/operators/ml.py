@@ -234,7 +234,8 @@ class Hmm:
 
     def _frames(self, seqs: DataFrame) -> DataFrame:
         f = seqs.select("seq_id", F.size("obs").alias("len"), F.posexplode("obs").alias("pos", "features"))
-        return f.withColumn("id", F.col("seq_id") * 1_000_000 + F.col("pos"))
+        # in order of sequence and place; an array has fewer than 2^31 places
+        return f.withColumn("id", F.col("seq_id").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos"))
 
     def init(self, seqs: DataFrame) -> Hmm:
         s = self.states

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tessera.functions.hashing import crc32c, hash_one, murmur32, super_fast_hash, super_fast_kernel
 from tessera.functions.timeops import micros, seconds
 from tessera.operators import kv
+from tessera.plans import sql_parts
 from tessera.session import table
 
 #: Fixed instant: 2024-01-20 00:00:00 UTC.
@@ -93,7 +94,7 @@ PLACE_HASH = hash_one(super_fast_kernel, b"orders")
 
 
 def _nodes(spark, d):
-    s = table(spark, d, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("node"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
     return s.withColumn("idx", (F.row_number().over(Window.orderBy("node")) - 1).cast("long"))
 
 
@@ -182,6 +183,8 @@ FROM (SELECT pid, m, s, list_filter(s, lambda x: x % 7 <> 1) AS a FROM (
 """
 
 ORACLES = {
+    "kv_pid_superfasthash": f"SELECT c_name, h, h % 4 AS pid FROM (SELECT c_name, {sql_parts.super_fast('c_name')} AS h FROM customer)",
+    "hash_murmur_crc32c": f"SELECT c_name, {sql_parts.murmur('c_name')} AS murmur, {sql_parts.crc('c_name', 0x82F63B78)} AS crc32c FROM customer",
     "kv_state_latest": f"SELECT key, value, seq FROM ({_LAST})",
     "kv_get_missing_empty": f"SELECT k.key AS key, coalesce(s.value, '') AS value FROM (SELECT unnest(range(0, (SELECT max(user_id) + 6 FROM events))) AS key) k LEFT JOIN ({_LAST}) s ON s.key = k.key",
     "kv_ttl_live": f"SELECT key, value, expired FROM ({_EXP}) WHERE expired = 0 OR expired > {NOW}",
@@ -192,7 +195,7 @@ ORACLES = {
     "kv_table_info": f"SELECT pid, n AS size, CAST(coalesce(sum(n) OVER (ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM (SELECT pid, count(*) AS n FROM ({_CUST}) GROUP BY pid)",
     "kv_list_page": f"SELECT place, pid, key, value FROM (SELECT *, row_number() OVER (ORDER BY pid, key) - 1 AS place FROM ({_CUST})) WHERE place >= 100 AND place < 160",
     "kv_list_resume": f"SELECT pid, key, value FROM ({_CUST}) WHERE pid > 1 OR (pid = 1 AND key >= 41) ORDER BY pid, key LIMIT 50",
-    "kv_placement": f"WITH n AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier WHERE s_nationkey < 5), c AS (SELECT count(*) AS n FROM n) SELECT p.pid AS pid, r.replica AS replica, n.node AS node, CASE WHEN r.replica = 0 THEN 'master' ELSE 'slave' END AS role FROM (SELECT unnest(range(8)) AS pid) p, (SELECT unnest(range(3)) AS replica) r, c, n WHERE r.replica < c.n AND n.idx = ({PLACE_HASH} + p.pid + r.replica) % c.n",
+    "kv_placement": f"WITH n AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier), c AS (SELECT count(*) AS n FROM n) SELECT p.pid AS pid, r.replica AS replica, n.node AS node, CASE WHEN r.replica = 0 THEN 'master' ELSE 'slave' END AS role FROM (SELECT unnest(range(8)) AS pid) p, (SELECT unnest(range(3)) AS replica) r, c, n WHERE r.replica < c.n AND n.idx = ({PLACE_HASH} + p.pid + r.replica) % c.n",
     "kv_failover": f"SELECT pid, master, array_to_string(slaves_list, ',') AS slaves, status FROM ({_FAIL})",
     "kv_failback": f"SELECT pid, master, n AS n_slaves, CASE WHEN 1 + n >= 3 THEN 'ACTIVE' ELSE status END AS status FROM (SELECT pid, master, status, len(slaves_list) + CASE WHEN pid % 5 = 0 AND master <> 1 AND NOT list_contains(slaves_list, 1) THEN 1 ELSE 0 END AS n FROM ({_FAIL}) WHERE master IS NOT NULL)",
     "kv_candidate": "WITH r AS (SELECT CAST(s_nationkey AS BIGINT) AS pid, s_suppkey AS node FROM supplier), f AS (SELECT s_suppkey % 25 AS pid, s_suppkey AS node FROM supplier WHERE s_suppkey % 3 = 0), u AS (SELECT * FROM r UNION ALL SELECT * FROM f), l AS (SELECT node, count(*) AS load FROM u GROUP BY node), o AS (SELECT p.pid, s.s_suppkey AS node, coalesce(l.load, 0) AS load, s.s_acctbal >= 0 AS good FROM (SELECT DISTINCT pid FROM r) p CROSS JOIN supplier s LEFT JOIN l ON l.node = s.s_suppkey WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.pid = p.pid AND u.node = s.s_suppkey)) SELECT pid, node FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY load, good, node) AS rn FROM o) WHERE rn = 1",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.timeops import micros
 from tessera.operators import folds, ml, sim
+from tessera.plans import sql_parts
 from tessera.session import table
 from tessera.sources import codecs, recordio
 
@@ -20,21 +21,20 @@ def _whole_vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
 
-def _first(spark, d):
+def _first(v):
     """Model at the start: the four rows at equal distances in order of id."""
-    v = _vectors(spark, d)
-    return v, ml.KMeans(4, centroids=ml.uniform_init(v, 4, v.count()))
+    return ml.KMeans(4, centroids=ml.uniform_init(v, 4, v.count()))
 
 
 def kmeans_assign(spark, d):
-    v, km = _first(spark, d)
-    return km.assign(v).select("id", F.col("label").cast("int").alias("label"), F.round("dist", 6).alias("dist"))
+    v = _whole_vectors(spark, d)
+    return _first(v).assign(v).select("id", F.col("label").cast("int").alias("label"), F.round("dist", 6).alias("dist"))
 
 
 def kmeans_step(spark, d):
-    v, km = _first(spark, d)
-    n = km.assign(v)
-    return n.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), *[F.round(F.avg(F.get("features", i)), 6).alias(f"m{i}") for i in range(3)])
+    v = _whole_vectors(spark, d)
+    n = _first(v).assign(v).select(F.col("label").cast("int").alias("label"), F.posexplode("features").alias("dim", "x"))
+    return n.groupBy("label", "dim").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
 
 
 def kmeans_train(spark, d):
@@ -43,7 +43,8 @@ def kmeans_train(spark, d):
 
 
 def _model(spark, d):
-    v, km = _first(spark, d)
+    v = _vectors(spark, d)
+    km = _first(v)
     return v, ml.Gmm(4, priors=[0.25] * 4, means=km.centroids, variances=[[0.02] * 3] * 4, floors=[1e-10] * 3)
 
 
@@ -187,9 +188,9 @@ def mcpack_roundtrip(spark, d):
 
 def compress_roundtrip(spark, d):
     t = table(spark, d, "documents")
-    z, g = codecs.compress(F.col("text"), "zlib"), codecs.compress(F.col("text"), "gzip")
-    c = t.select("doc_id", "text", z.alias("z"), g.alias("g"))
-    return c.select("doc_id", (F.decode(codecs.decompress(F.col("z"), "zlib"), "UTF-8") == F.col("text")).alias("zlib_same"), (F.decode(codecs.decompress(F.col("g"), "gzip"), "UTF-8") == F.col("text")).alias("gzip_same"))
+    kinds = ("zlib", "gzip", "snappy")
+    c = t.select("doc_id", "text", *[codecs.compress(F.col("text"), k).alias(k) for k in kinds])
+    return c.select("doc_id", *[(F.decode(codecs.decompress(F.col(k), k), "UTF-8") == F.col("text")).alias(f"{k}_same") for k in kinds])
 
 
 QUERIES = {
@@ -218,11 +219,45 @@ QUERIES = {
     "mcpack_roundtrip": mcpack_roundtrip,
     "compress_roundtrip": compress_roundtrip,
 }
+_K = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM v), k AS (SELECT e AS ke, CAST(i AS INTEGER) AS label FROM o, (SELECT unnest(range(4)) AS i) WHERE rn = floor(i * n / 4)), x AS (SELECT id, e, label, list_distance(e, ke) AS dist FROM v, k), y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, label) AS r FROM x) WHERE r = 1)"
 _V = "v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM v), k AS (SELECT a AS ka, b AS kb, c AS kc, CAST(i AS INTEGER) AS label FROM o, (SELECT unnest(range(4)) AS i) WHERE rn = floor(i * n / 4)), x AS (SELECT id, a, b, c, label, sqrt((a-ka)*(a-ka) + (b-kb)*(b-kb) + (c-kc)*(c-kc)) AS dist FROM v, k), y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, label) AS r FROM x) WHERE r = 1)"
 _P = "pow(1 / sqrt(2 * 3.14159 * 0.02), 3) * exp(-((a-ka)*(a-ka) + (b-kb)*(b-kb) + (c-kc)*(c-kc)) / 0.04)"
+_CALLS = "(SELECT user_id AS node, event_id AS seq, event_type = 'error' AS error, CAST(floor(value * 1000) AS BIGINT) AS latency FROM events)"
+
+
+def _breaker() -> str:
+    (s1, l1, t1), (s2, l2, t2) = sql_parts.breaker_window("a", 100, 5), sql_parts.breaker_window("b", 50, 10)
+    return sql_parts.in_order(_CALLS, "node", "seq", s1 | s2 | {"broken": "false"}, l1 | l2, t1 | t2 | {"broken": "broken OR NOT a_g OR NOT b_g"}, "_key AS node, _at AS seq, NOT broken AS healthy")
+
+
+def _cas() -> str:
+    ops = "(SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'click' THEN 'exchange' WHEN 'view' THEN 'get' ELSE 'cas' END AS op, CAST(floor(value) AS BIGINT) % 3 AS value, CAST(floor(value) AS BIGINT) % 3 + 1 AS expected FROM events)"
+    start = {"v": "CAST(0 AS BIGINT)", "ok": "true", "old": "CAST(0 AS BIGINT)"}
+    step = {"v": "CASE WHEN op = 'exchange' OR op = 'cas' AND v = expected THEN value ELSE v END", "ok": "op <> 'cas' OR v = expected", "old": "v"}
+    return sql_parts.in_order(ops, "id", "seq", start, {}, step, "_key AS id, _at AS seq, ok, old AS value")
+
+
+def _memcache() -> str:
+    ops = "(SELECT user_id AS key, event_id AS seq, ['set', 'get', 'incr', 'append', 'add', 'delete', 'replace', 'decr'][event_id * 7 % 8 + 1] AS op, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value FROM events)"
+    lets = {
+        "digits": "has AND regexp_full_match(v, '[0-9]+')",
+        "said": "CASE WHEN op IN ('add') AND has OR op IN ('replace', 'append') AND NOT has THEN 'not_stored' WHEN op IN ('get', 'incr', 'decr', 'delete') AND NOT has THEN 'not_found' WHEN op IN ('incr', 'decr') AND NOT digits THEN 'bad_value' ELSE 'ok' END",
+        "new": "CASE WHEN said <> 'ok' OR op IN ('get', 'delete') THEN v WHEN op IN ('incr', 'decr') THEN CAST(CAST(v AS HUGEINT) % 18446744073709551616 AS VARCHAR) WHEN op = 'append' THEN v || value ELSE value END",
+    }
+    step = {"has": "CASE WHEN op = 'delete' THEN false ELSE has OR said = 'ok' END", "v": "new", "status": "said", "shown": "CASE WHEN said = 'ok' AND op <> 'delete' THEN new END"}
+    return sql_parts.in_order(ops, "key", "seq", {"has": "false", "v": "''", "status": "''", "shown": "CAST(NULL AS VARCHAR)"}, lets, step, "_key AS key, _at AS seq, status, shown AS value")
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN 3 WHEN strlen({0}) < 255 THEN strlen({0}) + 4 ELSE strlen({0}) + 7 END"
 ORACLES = {
-    "kmeans_assign": f"WITH {_V} SELECT id, label, round(dist, 6) AS dist FROM y",
-    "kmeans_step": f"WITH {_V} SELECT label, count(*) AS n, round(avg(a), 6) AS m0, round(avg(b), 6) AS m1, round(avg(c), 6) AS m2 FROM y GROUP BY label",
+    "circuit_breaker": _breaker(),
+    "sm_cas": _cas(),
+    "memcache_fold": _memcache(),
+    "recordio_roundtrip": "SELECT doc_id, CAST(16 + length(CAST(doc_id AS VARCHAR)) + strlen(text) AS BIGINT) AS n_frame, true AS same FROM documents WHERE text IS NOT NULL",
+    "mcpack_roundtrip": f"SELECT conv_id, CAST(115 + 8 * count(*) + sum({_FIELD.format('role')}) + sum({_FIELD.format('text')}) AS BIGINT) AS n_bytes, true AS same FROM conversations GROUP BY 1",
+    "compress_roundtrip": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS zlib_same, CASE WHEN text IS NOT NULL THEN true END AS gzip_same, CASE WHEN text IS NOT NULL THEN true END AS snappy_same FROM documents",
+    "kmeans_assign": f"WITH {_K} SELECT id, label, round(dist, 6) AS dist FROM y",
+    "kmeans_step": f"WITH {_K} SELECT label, dim, count(*) AS n, round(avg(e[dim + 1]), 6) AS mean FROM (SELECT label, e, CAST(unnest(range(len(e))) AS INTEGER) AS dim FROM y) GROUP BY 1, 2",
     "gmm_estep": f"WITH {_V} SELECT id, round(sum(0.25 * {_P}), 6) AS density, round(sum(0.25 * {_P}) FILTER (WHERE label = 0) / sum(0.25 * {_P}), 6) AS share FROM v, k GROUP BY id",
     "life_step": "WITH c AS (SELECT DISTINCT CAST(l_orderkey * 7 % 256 AS INTEGER) AS x, CAST(l_partkey % 192 AS INTEGER) AS y FROM lineitem WHERE l_linenumber = 1), s AS (SELECT CAST((x + dx + 256) % 256 AS INTEGER) AS x, CAST((y + dy + 192) % 192 AS INTEGER) AS y, CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE 0 END AS own FROM c, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)) SELECT x, y FROM s GROUP BY x, y HAVING count(*) = 3 OR (count(*) = 4 AND max(own) = 1)",
     "balance_grow": "SELECT o_orderkey, x - 100 AS sum_x, y + 100 AS sum_y, y - x + 200 AS link, x // 4 AS prod_x, y * 4 AS prod_y FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS x, o_custkey AS y FROM orders)",

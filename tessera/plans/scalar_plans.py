@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tessera.functions import hashing as hs
 from tessera.functions import jsonops, mathops, timeops
 from tessera.functions import strings as st
+from tessera.plans import sql_parts
 from tessera.session import table
 from tessera.sources import codecs, importers
 
@@ -218,6 +219,8 @@ _URL = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?(?:([^@/?#]*)@)?([^:/?#]*)(?::([0-9]
 _W = "CAST('0x' || substr(m, {0} + 6, 2) || substr(m, {0} + 4, 2) || substr(m, {0} + 2, 2) || substr(m, {0}, 2) AS BIGINT)"
 _X = "CAST(floor(o_totalprice * 10) AS BIGINT)"
 ORACLES = {
+    "str_truncate": "SELECT doc_id, left(text, CAST(list_max(list_filter(range(38), lambda n: strlen(left(text, n)) <= 37)) AS BIGINT)) AS cut, strlen(text) = length(text) AS ascii FROM documents",
+    "hash_crc15": f"SELECT c_custkey, ({sql_parts.crc('c_name', 0xEDB88320)} >> 16) & 32767 AS crc15 FROM customer",
     "str_split": f"SELECT p_partkey, p_brand || '|' || p_type || '|' AS trimmed, ' ' || p_brand || '|' || p_type || '|' AS raw, array_to_string(list_transform(string_split({_S}, 'Brand'), lambda x: trim(x)), '|') AS sub, array_to_string(list_filter(string_split(p_type, ' '), lambda x: x <> ''), '|') AS white, array_to_string(list_filter(string_split_regex(p_type, '[ E]'), lambda x: x <> ''), '|') AS tokens FROM part",
     "str_kv_pairs": "SELECT event_id, 'a=' || user_id || '=true,==false,t=' || event_type || '=true' AS pairs FROM events",
     "str_edit": "SELECT p_partkey, regexp_replace(p_type, '[AE]', '', 'g') AS removed, regexp_replace(p_type, '[AE]', '-', 'g') AS replaced, p_type AS trimmed, p_type AS collapsed, substr(p_type, 1, 3) || replace(substr(p_type, 4), 'A', 'xx') AS after, substr(p_type, 1, 3) || regexp_replace(substr(p_type, 4), 'A', 'xx') AS once, lower(replace(p_type, ' ', '_')) AS snake, p_brand || '-' || p_size || ' $5 ' AS filled, regexp_full_match(p_brand, '[Brand#123]*') AS only, starts_with(lower(p_type), 'promo') AS starts, ends_with(p_type, 'steel') AS ends FROM part",

@@ -8,6 +8,7 @@ from tessera.functions import strings as st
 from tessera.functions.hashing import md5_word, murmur32
 from tessera.functions.timeops import micros
 from tessera.operators import assign, trace
+from tessera.plans import sql_parts
 from tessera.session import table
 
 START = 1_705_708_800_000_000
@@ -235,6 +236,7 @@ ORACLES = {
     "filter_bits": "SELECT p_partkey, p_size FROM part WHERE (p_size & 12) <> 0",
     "exclude_tried": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_linenumber = 3)",
     "ring_lookup_md5": f"WITH {_REQ}, {_RING.format('SELECT s, ' + _WORD.format(1) + ' AS p FROM (' + _NODES.format(100) + ')')} {_LOOK}",
+    "ring_lookup_murmur": f"WITH req AS (SELECT o_orderkey, {sql_parts.murmur('CAST(o_orderkey AS VARCHAR)')} AS code FROM orders), {_RING.format('SELECT s, ' + sql_parts.murmur('name') + ' AS p FROM (SELECT s_suppkey AS s, s_suppkey || chr(45) || i AS name FROM supplier, (SELECT unnest(range(100)) AS i))')} {_LOOK}",
     "ring_lookup_ketama": f"WITH {_REQ}, {_RING.format(' UNION ALL '.join('SELECT s, ' + _WORD.format(1 + 8 * k) + ' AS p FROM (' + _NODES.format(25) + ')' for k in range(4)))} {_LOOK}",
     "wrr_assign": "SELECT n_nationkey AS server, CAST((n_regionkey + 1) * 4 AS BIGINT) AS n FROM nation",
     "rr_assign": "SELECT (3 + 6 * (o_orderkey + 1)) % 25 AS server, count(*) AS n FROM orders GROUP BY 1",

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing as hs
-from tessera.functions import jsonops, mathops
+from tessera.functions import jsonops, mathops, timeops
 from tessera.functions import strings as st
 from tessera.operators import assign, folds, kv, metrics, ml, sim, trace
 from tessera.operators.kvapi import KvStore
+from tessera.session import setting
 from tessera.sources import codecs, importers, recordio
 
 
@@ -97,6 +98,28 @@ def test_kv_fixture(spark, tmp_path):
     assert s.drop("table_1", "auto") == "ok" and s.tables() == []
 
 
+def test_kv_store_outlives_itself(spark, tmp_path):
+    df = lambda *pairs: spark.createDataFrame(list(pairs), "key string, value string")
+    s = KvStore(spark, str(tmp_path), nodes=["a", "b", "c"])
+    assert s.flush("t") == "not_found" and s.create("t", 2, 2, nodes=3) == "ok" and s.flush("t") == "ok"
+    s.set("t", df(("k", "old"), ("gone", "x")), -1, now=1)
+    again = KvStore(spark, str(tmp_path), nodes=["a", "b", "c"])
+    assert again.tables() == ["t"] and again.seq >= s.seq
+    again.set("t", df(("k", "new")), -1, now=2)
+    read = lambda st, now=5: {r.key: r.value for r in st.table("t").where(f"expired = 0 OR expired > {now}").collect()}
+    assert read(again) == {"k": "new", "gone": "x"} == read(KvStore(spark, str(tmp_path)))
+    assert again.drop("t", versions={"t": 77}) == "version_mismatch" and again.drop("t", "nope") == "not_found"
+    assert again.drop("t", versions={"t": again.catalog["t"]["version"]}) == "ok" and not (tmp_path / "t").exists()
+    assert again.create("t") == "ok" and again.table("t").collect() == [] and again.get("t", df(("k", "")), 1).first().value == ""
+    again.set("t", df(("k", "3")), 10, now=100)
+    again.set("t", df(("m", "4")), 0, now=100)
+    assert again.compact("t", now=200) == (1, 1) and read(again) == {"m": "4"} == read(KvStore(spark, str(tmp_path)))
+    assert again.metas(node="a").count() == 1 and again.metas(["nope"]).count() == 0
+    say = lambda line: again.run(line, now=300)
+    assert [say(x) for x in ("create_table u 2", "set u 'a b' 1", "get u 'a b'", "get u c", "list u 0 9", "del u 'a b'", "get u 'a b'", "get nope x", "table_info t", "drop u", "drop u", "jump")] == ["ok", "ok", "1", "not exist", "a b 1", "ok", "not exist", "not_found", "0 1 0", "ok", "not_found", "unknown command"]
+    assert say("info") == "t 1 1"
+
+
 def test_metrics(spark):
     v = spark.createDataFrame([(i,) for i in range(1, 10_001)] * 2, "v long").withColumn("k", F.lit(1))
     r = metrics.nearest_rank(v, ["k"], "v", {f"p{i}": i / 10 for i in range(1, 11)}).first()
@@ -150,6 +173,82 @@ def test_circuit_breaker():
     assert folds.isolation_ms(10, 200) == 400 and folds.isolation_ms(40_000, 200) == 100
 
 
+def test_breaker_windows():
+    w = folds.EmaRecorder(100, 5)
+    # while it fills, as many errors as the percentage allows stay healthy; the next doesn't
+    assert [w.on_call_end(True, 10) for _ in range(6)] == [True] * 5 + [False]
+    # a success never breaks, whatever the window allows
+    assert folds.EmaRecorder(10, 5).on_call_end(False, 10) and not folds.EmaRecorder(10, 5).on_call_end(True, 10)
+    # a full window without a latency has no allowance
+    w = folds.EmaRecorder(4, 50)
+    assert [w.on_call_end(True, 7) for _ in range(5)] == [True, True, False, False, False]
+    # the cost of an error counts to twice the average latency; under 500 it is forgotten at a success, else it decays
+    w = folds.EmaRecorder(10, 50)
+    for _ in range(10):
+        w.on_call_end(False, 100)
+    assert w.latency == 100 and w.on_call_end(True, 10_000) and w.cost == 200
+    assert w.on_call_end(False, 100) and w.cost == 0
+    assert [w.on_call_end(True, 10_000) for _ in range(3)] == [True, True, False] and w.cost == 600
+    assert w.on_call_end(False, 100) and w.cost == int(600 * 0.02**0.1)
+    w.reset()
+    assert (w.cost, w.latency, w.seen) == (0, 100, 10)
+    young = folds.EmaRecorder(10, 50)
+    young.on_call_end(True, 5)
+    young.reset()
+    assert (young.seen, young.errors, young.latency) == (0, 0, 0)
+    b = folds.CircuitBreaker(long=10, short=10, long_percent=10, short_percent=10)
+    assert [b.on_call_end(True, 1, overload=True), b.on_call_end(True, 1), b.on_call_end(True, 1), b.on_call_end(False, 1)] == [True, True, False, False]
+    assert b.isolated == 1 and b.duration_ms == 200 and b.on_call_end(True, 1, overload=True)
+    b.reset(now_ms=50)
+    assert b.on_call_end(False, 1)
+
+
+def test_auto_limit():
+    def run(n, latency, gap=1000, error=lambda i: False, **kw):
+        a = folds.AutoLimit(least=10, most=20, **kw)
+        return a, [a.add(1 + i * gap, error(i), latency(i)) for i in range(n)]
+
+    a, seen = run(400, lambda i: 50_000)
+    # 20 samples 1 ms apart, the first at the window's start: 20 calls in 19 ms at 50 ms each
+    assert seen[18] == 40 and seen[19] == int(50_000 * (20 * 1e6 / 19_000) / 1e6 * 1.3) and a.explore == 0.3
+    loaded, _ = run(4000, lambda i: 50_000 + 40 * i)
+    assert loaded.explore == pytest.approx(0.06)
+    failed, got = run(40, lambda i: 50, error=lambda i: True)
+    assert got[19] == 20 and got[39] == 10 and folds.AutoLimit(floor=9).floor == 9
+    # failures weigh on the latency of the good calls
+    punished, _ = run(20, lambda i: 1000, error=lambda i: i % 2 == 0)
+    assert punished.min_latency == 2000
+    # from time to time the limit drops and the least latency is measured anew
+    again, limits = run(2000, lambda i: 50_000 if i < 900 else 80_000, remeasure_us=2_000_000)
+    assert again.min_latency == 80_000 and min(limits[40:]) < max(limits)
+    # a window that doesn't fill in time is left out
+    slow, limits = run(100, lambda i: 50, gap=400_000)
+    assert set(limits) == {40} and slow.min_latency == -1.0
+
+
+def test_locality_weight():
+    w = folds.LocalityWeight(queue=4, floor=1000, timeout_us=500_000)
+    scale = w.SCALE
+    assert scale == 1008680231
+    assert w.update(1_000_000, False, 2000) == scale // 2000
+    assert w.update(1_500_000, False, 4000) == scale // 4000
+    # full: three calls in a second and a half
+    w.update(2_000_000, False, 4000)
+    assert w.update(2_500_000, False, 4000) == (3 * 1_000_000 * scale // 1_500_000) // 4000
+    # a failure makes the last call slower by the timeout
+    assert w.update(2_600_000, True, 10) == (3 * 1_000_000 * scale // 1_600_000) // ((3 * 4000 + 500_000) // 3)
+    first = folds.LocalityWeight()
+    assert first.update(10, True, 5) == max(1000, scale // 500_000)
+    # calls in flight that wait long lower the weight
+    w = folds.LocalityWeight()
+    w.update(1_000_000, False, 1000)
+    w.begin(1_000_000)
+    w.begin(1_000_500)
+    before = w.weight
+    assert w.update(1_030_000, False, 29_500) == w.base * int(29_500 * 1.5) // 30_000 or w.weight <= before
+    assert w.update(1_030_001, False, 0) == w.weight
+
+
 def test_atomic_and_memcache(spark):
     ops = spark.createDataFrame([(1, 1, "get", 0, 0), (1, 2, "cas", 5, 0), (1, 3, "cas", 6, 4), (1, 4, "exchange", 9, 0), (1, 5, "get", 0, 0)], "id long, seq long, op string, value long, expected long")
     assert [tuple(r)[2:] for r in folds.atomic_map(ops).orderBy("seq").collect()] == [(True, 0), (True, 0), (False, 5), (True, 5), (True, 9)]
@@ -259,6 +358,43 @@ def test_codecs(spark, tmp_path):
     assert [list(r.features) for r in codecs.read_matrix(spark, str(tmp_path)).orderBy("sample_id").collect()] == SAMPLES
 
 
+def test_mcpack_widths():
+    import struct
+
+    v = {"a": np.int8(-3), "b": np.int16(-300), "c": np.int32(-70_000), "d": np.int64(-(1 << 40)), "e": np.uint8(200), "f": np.uint16(60_000), "g": np.uint32(4_000_000_000), "h": np.uint64((1 << 64) - 1), "i": np.float32(0.5), "j": 0.1, "k": [np.int16(1), np.int16(-2)], "l": [np.float32(1.5)], "m": (1 << 63) + 1, "n": True}
+    raw = codecs.pack(v)
+    assert codecs.unpack(raw) == {k: ([y.item() for y in x] if isinstance(x, list) else x.item() if isinstance(x, np.generic) else x) for k, x in v.items()}
+    assert codecs.pack(np.int32(5), "x") == b"\x14\x02x\0" + struct.pack("<i", 5)
+    # a deleted field is stepped over, an unknown fixed one has no value
+    body = struct.pack("<I", 3) + b"\x04\x02d\0" + bytes(4) + b"\x72\x02u\0" + bytes(2) + codecs.pack(1, "z")
+    assert codecs.unpack(b"\x10\x00" + struct.pack("<I", len(body)) + body) == {"u": None, "z": 1}
+    with pytest.raises(ValueError):
+        codecs.unpack(b"\x18\x00\x01")
+
+
+def test_text_functions(spark):
+    tok = lambda s, *a, **k: one(spark, st.quoted_tokens(F.lit(s), *a, **k))
+    assert tok("this is a test", " ") == ["this", "is", "a", "test"] and tok(" a  b ", " ", keep_delims=True) == [" ", "a", " ", " ", "b", " "]
+    assert tok("foo=bar, 'x, y'=\"\\\"q\\\"\" z", ", ", "'\"") == ["foo=bar", "'x, y'=\"\\\"q\\\"\"", "z"] and tok("a 'open b", " ", "'") == ["a", "'open b"] and tok("", " ") == []
+    assert one(spark, st.rfind(F.lit("abcabc"), F.lit("bc"))) == 4 and one(spark, st.find(F.lit("abc"), F.lit("z"))) == -1
+    assert [tuple(one(spark, st.hex_to_int(F.lit(x)))) for x in ("-0x8000000000000000", "0x7fffffffffffffff", "8000000000000000", "", "0x", "g1")] == [(True, -(1 << 63)), (True, (1 << 63) - 1), (False, None), (False, None), (False, None), (False, None)]
+    assert [one(spark, st.to_unsigned(F.lit(x)))["ok"] for x in ("18446744073709551615", "18446744073709551616", "-1", " 1", "7")] == [True, False, False, False, True]
+    assert one(spark, st.encode_name(F.lit("1a b.é"))) == "_Z049_a_Z032_b_Z046__Z195__Z169_" and one(spark, st.decode_name(F.lit("_Z049_a_Z032_b_Z300_"))) == "1a b_Z300_"
+    assert one(spark, st.utf16_offset(F.lit("a😀b"), F.lit(2))) == 3 and one(spark, st.utf8_offset(F.lit("a😀b"), F.lit(2))) == 5
+
+
+def test_times_and_bytes(spark):
+    us = lambda s: one(spark, timeops.parse_time(F.lit(s)))
+    assert us("1970-01-02") == timeops.DAY and us("Thu, 01 Jan 1970 00:00:01 GMT") == 1_000_000 == us("Thu Jan 01 00:00:01 1970 UTC") and us("1969-12-31T23:59:59Z") == -1_000_000 and us("nope") is None
+    parts = {k: one(spark, c) for k, c in timeops.span_parts(F.lit(-90_061_001_001)).items()}
+    assert parts == {"days": -1, "hours": -25, "minutes": -1501, "seconds": -90061, "ms": -90061001, "ms_up": -90061001}
+    assert bytes(one(spark, hs.big_endian(F.lit(258), 4))) == b"\0\0\1\2" and one(spark, hs.from_big_endian(F.lit(b"\xff" * 8))) == -1
+    words = F.array(*[F.lit(x).cast("long") for x in (0, -(1 << 63))])
+    first = lambda w, a, b: one(spark, mathops.bits_first(w, F.lit(a).cast("long"), F.lit(b).cast("long")))
+    assert first(words, 0, 128) == 127 and first(words, 0, 127) == 127 and first(words, 0, 100) == 100
+    assert one(spark, mathops.bits_set(words, F.lit(127).cast("long"), on=False)) == [0, 0] and one(spark, mathops.bits_get(words, F.lit(127).cast("long")))
+
+
 def test_json(spark):
     from pyspark.sql import types as T
 
@@ -273,6 +409,20 @@ def test_importers(spark, tmp_path):
     (tmp_path / "kv.csv").write_text("".join(f"k{i}, v{i} ,rest\n" for i in range(20)) + "short\n")
     got = [tuple(r) for r in importers.read_slice(spark, str(tmp_path / "kv.csv"), 3, 4).collect()]
     assert got == [(f"k{i}", f"v{i}") for i in range(3, 7)]
+    many = tmp_path / "many"
+    importers.save_pairs(spark.createDataFrame([(f"{i:03}", str(i)) for i in range(200)], "key string, value string").coalesce(1), str(many))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "256"):
+        assert [tuple(r) for r in importers.read_slice(spark, str(many), 150, 3).collect()] == [(f"{i:03}", str(i)) for i in (150, 151, 152)]
+    files = importers.list_files(spark, str(tmp_path), "*.csv").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in files] == ["kv.csv"] and files[0]["size"] == (tmp_path / "kv.csv").stat().st_size
+    importers.dump_requests(spark.range(50).withColumnRenamed("id", "n"), str(tmp_path / "dump"), 1.0, 1, per_file=5, files=3, order="n")
+    back = importers.read_dump(spark, str(tmp_path / "dump"), "n long")
+    assert sorted(r.n for r in back.collect()) == list(range(35, 50)) and back.select("file").distinct().count() == 3
+    state = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    importers.save_snapshot(state, str(tmp_path / "snap"), 7)
+    importers.save_snapshot(state.where("k = 'a'"), str(tmp_path / "snap"), 12)
+    loaded, at = importers.load_snapshot(spark, str(tmp_path / "snap"))
+    assert at == 12 and [tuple(r) for r in loaded.collect()] == [("a", 1)]
     a, b = importers.synthetic(spark, 5, 3), importers.synthetic(spark, 5, 3)
     assert a.exceptAll(b).count() == 0
     js = '[{"Service": {"Address": "10.0.0.1", "Port": 80, "Tags": ["1/3", "x"]}}]'
