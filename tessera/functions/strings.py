@@ -345,3 +345,14 @@ def decode_name(s: Column) -> Column:
     codes = F.transform(F.regexp_extract_all(s, F.lit(p), F.lit(1)), lambda c: F.lpad(F.hex(c.cast("int")), 2, "0"))
     rest = F.transform(F.split(s, p, -1), F.hex)
     return F.decode(F.unhex(F.array_join(F.zip_with(rest, codes, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")), "UTF-8")
+
+
+def fields_as(s: Column, sep: str, kinds: dict[str, str], keep_empty: bool = False) -> Column:
+    """A struct of named, typed fields of a string; what isn't of its type, or isn't there, is null."""
+    parts = F.split(s, _quote(sep), -1) if keep_empty else F.filter(F.split(s, _quote(sep), -1), lambda x: x != "")
+    return F.struct(*[(F.get(parts, i) if kind == "string" else F.get(parts, i).try_cast(kind)).alias(name) for i, (name, kind) in enumerate(kinds.items())])
+
+
+def with_flag(before: Column, after: Column) -> Column:
+    """(value, changed) of an edit."""
+    return F.struct(after.alias("value"), (before != after).alias("changed"))

@@ -182,3 +182,11 @@ def constant_limit(requests: DataFrame, key: str, begin: str, end: str, limit: i
     w = Window.partitionBy(key).orderBy("_at", "_step", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = u.withColumn("under_way", F.sum("_step").over(w)).where("_step = 1")
     return found.select(key, "_id.*", F.col("under_way").cast("long").alias("under_way"), (F.col("under_way") <= limit).alias("admitted"))
+
+
+def selective(requests: DataFrame, seq: str, channels: int, failed: Callable[[Column], Column], max_retry: int, stride: int = 1) -> DataFrame:
+    """``requests`` with the channel that answers each: the one whose turn it is, or on failure the next, ``max_retry`` times at most; null if all failed."""
+    while gcd(stride, channels) != 1:
+        stride += 1
+    tries = F.transform(F.sequence(F.lit(0), F.lit(min(max_retry, channels - 1))), lambda k: F.pmod((F.col(seq) + k) * stride, F.lit(channels)).cast("int"))
+    return requests.withColumn("channel", F.get(F.filter(tries, lambda c: ~failed(c)), 0))

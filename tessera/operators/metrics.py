@@ -204,3 +204,8 @@ def timed(rows: DataFrame, key: str, begin: str, end: str, elapsed_us: int) -> D
 def counter_bundle(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Average, maximum, count and percentiles of a counter; it has no rate."""
     return latency_bundle(rows, key, value, 1).drop("qps")
+
+
+def samples(ticks: DataFrame, keys: list[str], tick: str, value: str, n: int, per_second: bool = False) -> DataFrame:
+    """A series' value at each tick: over its window of ``n`` ticks, or of the tick alone."""
+    return windowed(ticks, keys, tick, 1 if per_second else n, {"sample": F.sum(value)})

@@ -84,6 +84,13 @@ class KMeans:
             rows.unpersist()
         return self
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> KMeans:
+        return KMeans(**json.loads(text))
+
     def assign(self, rows: DataFrame) -> DataFrame:
         n = nearest(F.col("features"), self.centroids)
         return rows.select("*", n.alias("_n")).select(*rows.columns, F.col("_n.label").alias("label"), F.col("_n.dist").alias("dist"))
@@ -202,6 +209,18 @@ class Hmm:
     max_iter: int = 100
     iterations: int = 0
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> Hmm:
+        raw = json.loads(text)
+        return Hmm(**raw | {"models": [Gmm(**m) for m in raw["models"]]})
+
+    def probability(self, seqs: DataFrame) -> DataFrame:
+        """(seq_id, score): the score of each sequence's best path."""
+        return self.decode(seqs).where("pos = 0").select("seq_id", "score")
+
     def viterbi(self, x: np.ndarray) -> tuple[list[int], float]:
         """Best states of a sequence, and exp of its average log10 likelihood."""
         s, t = self.states, len(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from tessera.session import materialise, release
 
 
 def life_step(cells: DataFrame, width: int, height: int, condition: int = 3, torus: bool = True) -> DataFrame:
@@ -23,12 +23,23 @@ def life_step(cells: DataFrame, width: int, height: int, condition: int = 3, tor
     return g.where((F.col("n") == condition) | (F.col("n") - F.col("own") == condition) & (F.col("own") == 1)).select("x", "y")
 
 
+def population(cells: DataFrame, first: int | None = None, last: int | None = None) -> int:
+    """Live cells, of all rows or of the band [first, last)."""
+    if first is not None:
+        cells = cells.where(F.col("y") >= first)
+    if last is not None:
+        cells = cells.where(F.col("y") < last)
+    return cells.count()
+
+
 def life_run(cells: DataFrame, width: int, height: int, generations: int, stagnant: int = 10) -> tuple[DataFrame, list[int]]:
     """Generations and their populations; stops early once the population stood still ``stagnant`` times."""
     seen: list[int] = []
     for _ in range(generations):
-        cells = materialise(life_step(cells, width, height), "life")
-        seen.append(cells.count())
+        after = materialise(life_step(cells, width, height), "life")
+        release(cells)
+        cells = after
+        seen.append(population(cells))
         if len(seen) >= stagnant and len(set(seen[-stagnant:])) == 1:
             break
     return cells, seen

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing as hs
@@ -10,7 +11,7 @@ from tessera.functions import strings as st
 from tessera.functions.timeops import micros
 from tessera.operators import assign, folds, kvapi, metrics, trace
 from tessera.session import table
-from tessera.sources import importers
+from tessera.sources import importers, raftlog
 
 
 def _part(spark, d):
@@ -267,7 +268,35 @@ def endpoints(spark, d):
     return c.select("c_custkey", mathops.endpoint(t)["host"].alias("host"), mathops.endpoint(t)["port"].alias("port"))
 
 
+def typed_fields(spark, d):
+    s = F.concat_ws(",", F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("x"), "p_brand")
+    e = st.with_flag(F.col("p_brand"), st.remove_chars(F.col("p_brand"), "3"))
+    return _part(spark, d).select(st.fields_as(s, ",", {"id": "long", "size": "int", "brand": "string"}).alias("f"), e.alias("e")).select("f.*", F.col("e.value").alias("less"), F.col("e.changed").alias("changed"))
+
+
+def channels(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return assign.selective(o, "o_orderkey", 5, lambda c: (F.col("o_custkey") + c) % 3 == 0, 1, 2).select("o_orderkey", "channel")
+
+
+def log_segments(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("es"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for user, es in zip(b["user_id"], b["es"], strict=True):
+                rows = [(i + 1, int(x["event_id"]), 1, x["event_type"].encode()) for i, x in enumerate(es)]
+                raw = b"".join(raftlog.entry(term, kind, data, i % 2) for i, term, kind, data in rows)
+                out.append((user, len(raw), list(raftlog.entries(raw + raw[:10], 1, len(rows))) == rows))
+            yield pd.DataFrame(out, columns=["user_id", "n_bytes", "same"])
+
+    return e.mapInPandas(run, "user_id long, n_bytes long, same boolean")
+
+
 QUERIES = {
+    "log_segments": log_segments,
+    "str_typed_fields": typed_fields, "selective_channel": channels,
     "str_tokens": tokens, "str_find": find, "str_convert": convert, "str_encode_name": names, "str_valid_text": valid_text,
     "time_spans": spans, "time_parse": parse_times, "math_finite": finite, "bit_array": bits, "bytes_pack_cut": packed,
     "random_guid": random, "zip_by_position": zipped, "map_ignoring_case": case_map, "metric_reduce_op": reduced, "metric_stat_unmerge": stats,
@@ -281,6 +310,9 @@ _BUNDLE = "SELECT event_type, count(*) AS count, CAST(trunc(sum(v) / count(*)) A
 _SPLIT = "list_filter(string_split(p_type, '{0}'), lambda x: x <> '')"
 _QUORUM = "(SELECT grp, l[CAST(floor(len(l) / 2) AS INTEGER) + 1] AS c FROM (SELECT grp, list(m ORDER BY m DESC) AS l FROM m WHERE {0} GROUP BY grp))"
 ORACLES = {
+    "log_segments": "SELECT user_id, CAST(sum(24 + strlen(event_type)) AS BIGINT) AS n_bytes, true AS same FROM events GROUP BY 1",
+    "str_typed_fields": "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_size END AS size, p_brand AS brand, replace(p_brand, '3', '') AS less, p_brand LIKE '%3%' AS changed FROM part",
+    "selective_channel": "SELECT o_orderkey, CAST(list_filter(list_transform(range(2), lambda k: (o_orderkey + k) * 2 % 5), lambda c: (o_custkey + c) % 3 <> 0)[1] AS INTEGER) AS channel FROM orders",
     "str_tokens": r"""SELECT p_partkey, p_brand || '|"a b' || p_size || '\" c"|' || replace(p_type, ' ', '|') || '|''x' AS quoted, array_to_string(list_filter(string_split_regex(regexp_replace(p_type, '([ A])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), '|') AS kept FROM part""",
     "str_find": """SELECT p_partkey, CAST(strpos(p_type, 'A') - 1 AS INTEGER) AS first_a, CAST(CASE WHEN strpos(substr(p_type, 7), 'A') > 0 THEN strpos(substr(p_type, 7), 'A') + 5 ELSE -1 END AS INTEGER) AS next_a, CAST(CASE WHEN strpos(p_type, 'E') > 0 THEN length(p_type) - strpos(reverse(p_type), 'E') ELSE -1 END AS INTEGER) AS last_e, CAST(CASE WHEN regexp_matches(p_type, '[AEIOU]') THEN length(regexp_extract(p_type, '^[^AEIOU]*')) ELSE -1 END AS INTEGER) AS vowel, CAST(CASE WHEN regexp_matches(p_type, '[^A-S]') THEN length(regexp_extract(p_type, '^[A-S]*')) ELSE -1 END AS INTEGER) AS other, CAST(CASE WHEN strpos(p_type, ' ') > 0 THEN length(p_type) - strpos(reverse(p_type), ' ') ELSE -1 END AS INTEGER) AS space, substr(p_type, 3, length(p_type) - 5) AS middle, CASE WHEN p_type < 'M' THEN -1 WHEN p_type > 'M' THEN 1 ELSE 0 END AS cmp, true AS same, p_type LIKE 'STAND%' AS standard, printf('%05d:%s', p_size, p_brand) AS printed FROM part""",
     "str_convert": """SELECT p_partkey, p_partkey % 4 < 2 AS ok, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey || '.5e1' AS DOUBLE) WHEN 1 THEN CAST(-p_partkey AS DOUBLE) END AS num, false AS u_ok, p_partkey % 3 < 2 AS h_ok, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN -p_partkey END AS h_num, CAST(p_partkey % 16 AS INTEGER) AS digit, p_brand AS brand, true AS utf16_same, 'Aé' AS latin FROM part""",

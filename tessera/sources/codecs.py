@@ -197,6 +197,21 @@ def matrix_bytes(rows: list[list[float]]) -> bytes:
     return struct.pack("<ii", len(rows), len(rows[0]) if rows else 0) + np.array(rows, "<f8").tobytes()
 
 
+def sequence_bytes(seqs: list[list[list[float]]]) -> bytes:
+    dim = next((len(r) for s in seqs for r in s), 0)
+    return struct.pack("<ii", len(seqs), dim) + b"".join(struct.pack("<i", len(s)) + np.array(s, "<f8").tobytes() for s in seqs)
+
+
+def label_bytes(labels: list[int]) -> bytes:
+    return struct.pack(f"<i{len(labels)}i", len(labels), *labels)
+
+
+def read_labels(data: bytes) -> list[int]:
+    """Labels of ``<int n><int ...>``."""
+    n = struct.unpack_from("<i", data, 0)[0]
+    return list(struct.unpack_from(f"<{n}i", data, 4))
+
+
 def read_sequences(data: bytes) -> list[list[list[float]]]:
     """Sequences of ``<int size><int dim>{<int length><double ...>}``."""
     n, dim = struct.unpack_from("<ii", data, 0)

@@ -16,6 +16,32 @@ def read_folder(spark: SparkSession, path: str, schema, per_trigger: int = 16) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def watch_servers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of server lists as files of a folder appear; ``server_feed`` turns them into changes."""
+    return spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(path)
+
+
+def server_feed(consume: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch is a whole server list, and what it adds to and takes from the one before is handed on.
+
+    The list last seen is kept as a written table, so nothing but its place is held between batches.
+    """
+    from tessera.operators.trace import snapshot_diff
+    from tessera.session import materialise, release
+    from tessera.sources.importers import server_list
+
+    last: list[DataFrame] = []
+
+    def run(batch: DataFrame, _: int) -> None:
+        now = materialise(server_list(batch.withColumn("place", F.monotonically_increasing_id())).select(F.concat_ws(":", "host", "port", "tag").alias("server")), "servers")
+        before = last[0] if last else now.where("false")
+        consume(snapshot_diff(now, before, "server"))
+        release(*last)
+        last[:] = [now]
+
+    return run
+
+
 def ticks(stream: DataFrame, ts: str, keys: list[str], value: str, tick: str = "1 second", late: str = "5 seconds") -> DataFrame:
     """Sum, count and maximum of each key and tick; rows later than the watermark are dropped, as a passed sampling tick."""
     d = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)

@@ -12,7 +12,7 @@ from tessera.functions import strings as st
 from tessera.operators import assign, folds, kv, metrics, ml, sim, trace
 from tessera.operators.kvapi import KvStore
 from tessera.session import setting
-from tessera.sources import codecs, importers, recordio
+from tessera.sources import codecs, importers, raftlog, recordio
 
 
 @pytest.mark.parametrize(
@@ -283,7 +283,7 @@ def numpy_kmeans(x, k):
 
 def test_kmeans(samples):
     km = ml.KMeans(4).fit(samples)
-    assert np.allclose(km.centroids, numpy_kmeans(np.array(SAMPLES), 4))
+    assert np.allclose(km.centroids, numpy_kmeans(np.array(SAMPLES), 4)) and ml.KMeans.from_json(km.to_json()) == km
 
 
 def test_gmm(samples):
@@ -307,7 +307,12 @@ def test_hmm(spark):
             s = np.log10(h.init_p[path[0]]) + sum(e[q][t] for t, q in enumerate(path)) + sum(np.log10(h.tran[a][b]) for a, b in zip(path, path[1:], strict=False)) + np.log10(h.tran[path[-1]][2])
             best = max(best, s)
         assert h.viterbi(x)[1] == pytest.approx(np.exp(best / len(x)))
-    assert h.decode(seqs).count() == 10
+    assert h.decode(seqs).count() == 10 and ml.Hmm.from_json(h.to_json()) == h
+    assert {r.seq_id: r.score for r in h.probability(seqs).collect()} == pytest.approx({i: h.viterbi(np.array(SAMPLES[a:b]))[1] for i, (a, b) in enumerate(cuts)})
+    # places of long sequences don't run into the next sequence
+    long = spark.createDataFrame([(0, [[0.0]] * 1_000_001), (1, [[1.0]])], "seq_id long, obs array<array<double>>")
+    ids = h._frames(long).where("pos = 1000000 OR seq_id = 1").select("id").collect()
+    assert len({r.id for r in ids}) == 2
 
 
 def test_life(spark):
@@ -349,11 +354,30 @@ def test_recordio_files(spark, tmp_path):
     assert got == [(b"one", {"k": b"v"}), (b"two", {})]
 
 
+def test_recordio_sink(spark, tmp_path):
+    payloads = [bytes([i, 0, 255, 10, 200]) * i for i in range(20)]
+    recordio.write(spark.createDataFrame([(p,) for p in payloads], "payload binary").repartition(3), str(tmp_path / "out"))
+    assert sorted(bytes(r.payload) for r in recordio.read(spark, str(tmp_path / "out")).collect()) == sorted(payloads)
+
+
+def test_log_segments(spark, tmp_path):
+    raw = [raftlog.entry(5 + i, 1, b"x" * i, i % 2) for i in range(4)]
+    (tmp_path / raftlog.segment_name(1, 3)).write_bytes(b"".join(raw[:3]))
+    (tmp_path / raftlog.segment_name(4)).write_bytes(raw[3] + raw[2][:-1])
+    (tmp_path / "log_meta").write_bytes(b"?")
+    assert [tuple(r) for r in raftlog.read(spark, str(tmp_path)).orderBy("log_index").collect()] == [(i + 1, 5 + i, 1, b"x" * i) for i in range(4)]
+    for bad, last in ((raw[1][:10] + b"?" + raw[1][11:], None), (raw[2][:-1] + b"y", None), (raw[0], 2)):
+        with pytest.raises(ValueError):
+            list(raftlog.entries(bad, 1, last))
+
+
 def test_codecs(spark, tmp_path):
     v = {"a": 1, "b": [1, 2], "c": [{"x": 1, "y": "s"}, {"x": 2, "y": "t"}], "d": {"e": None, "f": True}, "g": 1.5, "h": b"\0raw", "i": ["x", 1], "j": []}
     assert codecs.unpack(codecs.pack(v)) == v
     assert codecs.redis_command("set 'a b' \"c\\\"d\" ''") == b'*4\r\n$3\r\nset\r\n$3\r\na b\r\n$3\r\nc"d\r\n$0\r\n\r\n'
     assert codecs.redis_reply(b"*4\r\n:7\r\n$-1\r\n+OK\r\n$2\r\nhi\r\n")[0] == [7, None, "OK", b"hi"]
+    seqs = [SAMPLES[:2], SAMPLES[2:5], SAMPLES[5:6]]
+    assert codecs.read_sequences(codecs.sequence_bytes(seqs)) == seqs and codecs.read_labels(codecs.label_bytes([3, -1, 0])) == [3, -1, 0]
     (tmp_path / "m.bin").write_bytes(codecs.matrix_bytes(SAMPLES))
     assert [list(r.features) for r in codecs.read_matrix(spark, str(tmp_path)).orderBy("sample_id").collect()] == SAMPLES
 

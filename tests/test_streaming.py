@@ -48,3 +48,15 @@ def test_ordered_sink(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [2, 3, 1, 4]
+
+
+def test_server_feed(spark, tmp_path):
+    folder, seen = tmp_path / "lists", []
+    folder.mkdir()
+    (folder / "1").write_text("a:1\nb:2 # off\n")
+    q = ms.watch_servers(spark, str(folder)).writeStream.option("checkpointLocation", str(tmp_path / "at")).foreachBatch(ms.server_feed(lambda d: seen.append(sorted(map(tuple, d.collect()))))).start()
+    q.processAllAvailable()
+    (folder / "2").write_text("b:2\nc:3 tag\n")
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [[("a:1:", "added"), ("b:2:", "added")], [("a:1:", "removed"), ("c:3:tag", "added")]]
