@@ -298,6 +298,13 @@ def test_token_counts(spark, nasty, nothing):
         assert r.tokens_at_least == sum(x for x in n if x >= limit) and r.truncated_tokens == sum(min(x, limit) for x in n)
         assert r.total_docs == len(n) and r.total_tokens == sum(n) and r.quantile == pytest.approx(sum(x <= limit for x in n) / len(n))
     assert tokencount.token_counts(nothing).collect() == []
+    h = tokencount.length_histogram(nasty)
+    for r in tokencount.at_limits(h, [0, 1, 7, 2048, 10**9]).collect():
+        assert r.docs_at_least == sum(x >= r.limit for x in n) and r.tokens_at_least == sum(x for x in n if x >= r.limit)
+        assert r.truncated_tokens == sum(min(x, r.limit) for x in n) and r.quantile == pytest.approx(sum(x <= r.limit for x in n) / len(n))
+    assert {r.share: r.n_tokens for r in tokencount.quantiles(h, [0.0, 0.5, 0.9, 1.0]).collect()} == {p: min(x for x in n if sum(y <= x for y in n) / len(n) >= p) for p in (0.0, 0.5, 0.9, 1.0)}
+    none = tokencount.length_histogram(nothing)
+    assert [r.total_docs for r in tokencount.at_limits(none, [5]).collect()] == [0] and [r.n_tokens for r in tokencount.quantiles(none, [0.5]).collect()] == [None]
 
 
 def test_top_k(spark):
@@ -310,6 +317,19 @@ def test_top_k(spark):
     assert topk.top_k(v.where("false")).collect() == []
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    v = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    q = np.floor(256 * x).astype(int)
+    want = []
+    for i in range(0, 400, 50):
+        order = sorted((j for j in range(400) if j != i), key=lambda j: (-int(q[i] @ q[j]), j))[:5]
+        want += [(i, k + 1, j, int(q[i] @ q[j])) for k, j in enumerate(order)]
+    assert sorted(tuple(r) for r in topk.top_k(v).collect()) == want
+
+
 def test_mixing(spark, sf, nasty, nothing):
     d = table(spark, sf.replace("0.001", "0.01"), "documents")
     a = rows(mixing.mix_report(d))
@@ -534,22 +554,55 @@ def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries()} == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
 
 
+def plain_sanitised(text):
+    """Base spans by the plain patterns, the first of overlapping ones naming the whole."""
+    spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute.pii(text)[5].split(",") if x))
+    out, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def test_pipeline(spark, sf):
+    """Every stage against plain Python on what it was given, and the whole against its stages."""
     import corpus_pipeline
+    from tessera.session import materialise
 
     d = table(spark, sf, "documents")
-    docs, kept = d, None
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    stages, docs, seen = dict(corpus_pipeline.STAGES), d, {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
-        assert out.columns == d.columns
-        if name != "source_mixing":
-            from tessera.session import materialise
-
-            docs = kept = materialise(out, name)
-    given = pairs(d)
-    groups = {c for i, _, c, _ in brute.near(given)}
-    assert {r.doc_id for r in kept.collect()} <= groups
-    assert kept.count() == len(groups) - len({r[0] for r in decontaminate.leaks(d, table(spark, sf, "benchmark")).collect()} & groups) - len([1 for i, t in given if i in groups and not any(c.isalpha() for c in t or "")])
+        docs = materialise(stage(spark, docs, sf), name)
+        assert docs.dtypes == d.dtypes
+        seen[name] = sorted(pairs(docs))
+    assert list(stages) == ["language_id", "near_duplicates", "decontamination", "personal_data", "source_mixing"]
+    given = [(i, t) for i, t in pairs(d) if any(c.isalpha() for c in t or "")]
+    assert seen["language_id"] == sorted(given)
+    groups = {c for _, _, c, _ in brute.near(given)}
+    kept = [(i, t) for i, t in given if i in groups]
+    assert seen["near_duplicates"] == sorted(kept)
+    leaking = {r[0] for r in brute.leaks(kept, items)}
+    kept = [(i, t) for i, t in kept if i not in leaking]
+    assert leaking and seen["decontamination"] == sorted(kept)
+    clean = {i: plain_sanitised(t) for i, t in kept}
+    assert seen["personal_data"] == sorted(clean.items())
+    copies = Counter(i for i, _ in seen["source_mixing"])
+    assert set(seen["source_mixing"]) <= set(clean.items()) and max(copies.values()) <= 3
+    assert sorted(pairs(corpus_pipeline.run(spark, sf))) == seen["source_mixing"]
+
+
+def test_pipeline_on_nasty_and_empty_tables(spark, sf, nasty, nothing, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("nasty", nasty), ("nothing", nothing)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        table(spark, sf, "benchmark").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.dtypes == df.dtypes
+        got = Counter(r.doc_id for r in out.collect())
+        assert not set(got) & {2, 3, 4, 5, 6, 8, 15} and (got or name == "nothing") and max(got.values(), default=0) <= 3
 
 
 @pytest.mark.parametrize("in_one_task", [0, 100_000])
