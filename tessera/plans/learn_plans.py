@@ -68,7 +68,7 @@ def _sequences(spark, d):
 def hmm_decode(spark, d):
     g = lambda m: ml.Gmm(1, [1.0], [[m]], [[100.0]], [1e-10])
     h = ml.Hmm(3, 1, [0.5, 0.25, 0.25], [[0.5, 0.25, 0.2, 0.05], [0.2, 0.5, 0.25, 0.05], [0.25, 0.2, 0.5, 0.05]], [g(10.0), g(30.0), g(60.0)])
-    return h.decode(_sequences(spark, d))
+    return h.decode(_sequences(spark, d)).select("seq_id", "pos", "state", F.round("score", 6).alias("score"))
 
 
 def hmm_train(spark, d):
@@ -248,9 +248,91 @@ def _memcache() -> str:
     return sql_parts.in_order(ops, "key", "seq", {"has": "false", "v": "''", "status": "''", "shown": "CAST(NULL AS VARCHAR)"}, lets, step, "_key AS key, _at AS seq, status, shown AS value")
 
 
+#: Calls in order of time: pos from 1 for each node.
+_TIMED = "(SELECT user_id AS node, epoch_us(ts) AS at_us, event_id AS seq, event_type = 'error' AS error, CAST(floor(value * 1000) AS BIGINT) AS latency, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"
+
+
+def _lalb() -> str:
+    scale, queue = folds.LocalityWeight.SCALE, 128
+    lets = {
+        "cost": "CASE WHEN error THEN 500000 ELSE latency END",
+        "filled": f"len(q) = {queue}",
+        "q1": "CASE WHEN latency <= 0 THEN q WHEN error AND len(q) > 0 THEN list_append(q[1:-2], q[-1] + cost) WHEN error THEN [greatest(cost, 500000)] WHEN filled THEN list_append(q[2:], latency + q[-1]) ELSE list_append(q, latency + coalesce(q[-1], 0)) END",
+        "e1": "CASE WHEN latency <= 0 THEN e WHEN error AND len(q) > 0 THEN list_append(e[1:-2], at_us) WHEN NOT error AND filled THEN list_append(e[2:], at_us) ELSE list_append(e, at_us) END",
+        "n": "len(q1)",
+        "several": "latency > 0 AND n > 1 AND at_us > e1[1]",
+        "qps": f"CASE WHEN several AND (n = {queue} OR at_us >= e1[1] + 1000000) THEN greatest({scale}, (n - 1) * 1000000 * {scale} // (at_us - e1[1])) ELSE {scale} END",
+        "lat1": "CASE WHEN latency <= 0 THEN lat WHEN several THEN (q1[-1] - q1[1]) // (n - 1) WHEN n = 1 THEN q1[-1] ELSE lat END",
+        "w1": "CASE WHEN latency > 0 AND (several OR n = 1) AND lat1 > 0 THEN greatest(1000, qps // lat1) ELSE w END",
+    }
+    start = {"q": "CAST([] AS BIGINT[])", "e": "CAST([] AS BIGINT[])", "lat": "CAST(0 AS BIGINT)", "w": "CAST(1000 AS BIGINT)", "t": "CAST(0 AS BIGINT)", "s": "CAST(0 AS BIGINT)"}
+    step = {"q": "q1", "e": "e1", "lat": "lat1", "w": "w1", "t": "at_us", "s": "seq"}
+    return sql_parts.in_order(_TIMED, "node", "pos", start, lets, step, "_key AS node, t AS at_us, s AS seq, w AS weight")
+
+
+def _limit() -> str:
+    after, window, least, most = 37_500_000, 86_400_000_000, 10, 20
+    lets = {
+        "rem0": f"coalesce(rem, at_us + {after})",
+        "smp": "last = 0 OR at_us - last >= 100",
+        "wait": "smp AND rst <> 0 AND rst > at_us",
+        "fresh": "smp AND rst <> 0 AND rst <= at_us",
+        "act": "smp AND NOT wait",
+        "m1": "CASE WHEN fresh THEN CAST(-1 AS DOUBLE) ELSE minl END",
+        "r1": "CASE WHEN fresh THEN 0 ELSE rst END",
+        "rem1": f"CASE WHEN fresh THEN at_us + {after} ELSE rem0 END",
+        "b1": "CASE WHEN fresh OR act AND beg = 0 THEN at_us ELSE beg END",
+        "c1": "CASE WHEN fresh THEN 0 ELSE calls + CASE WHEN error THEN 0 ELSE 1 END END",
+        "g1": "CASE WHEN fresh THEN 0 ELSE good END + CASE WHEN act AND NOT error THEN 1 ELSE 0 END",
+        "f1": "CASE WHEN fresh THEN 0 ELSE bad END + CASE WHEN act AND error THEN 1 ELSE 0 END",
+        "gu1": "CASE WHEN fresh THEN 0 ELSE good_us END + CASE WHEN act AND NOT error THEN latency ELSE 0 END",
+        "fu1": "CASE WHEN fresh THEN 0 ELSE bad_us END + CASE WHEN act AND error THEN latency ELSE 0 END",
+        "over": f"at_us - b1 >= {window}",
+        "fit": f"act AND g1 + f1 >= {least} AND (over OR g1 + f1 >= {most})",
+        "clear": f"fit OR act AND g1 + f1 < {least} AND over",
+        "any_good": "fit AND g1 > 0",
+        "mean": "CASE WHEN any_good THEN CAST(ceil(CAST(gu1 + fu1 AS DOUBLE) / g1) AS BIGINT) END",
+        "qps": "1e6 * c1 / greatest(1, at_us - b1)",
+        "m2": "CASE WHEN NOT any_good THEN m1 WHEN m1 <= 0 THEN CAST(mean AS DOUBLE) WHEN mean < m1 THEN trunc(mean * CAST(0.1 AS DOUBLE) + m1 * (1 - CAST(0.1 AS DOUBLE))) ELSE m1 END",
+        "q2": "CASE WHEN NOT any_good THEN maxq WHEN qps >= maxq THEN qps ELSE qps * (CAST(0.1 AS DOUBLE) / 10) + maxq * (1 - CAST(0.1 AS DOUBLE) / 10) END",
+        "again": "any_good AND rem1 <= at_us",
+        "idle": "mean <= m2 * CAST(1.06 AS DOUBLE) OR qps <= q2 / CAST(1.06 AS DOUBLE)",
+        "x1": "CASE WHEN NOT any_good OR again THEN x WHEN idle THEN least(CAST(0.3 AS DOUBLE), x + CAST(0.02 AS DOUBLE)) ELSE greatest(CAST(0.06 AS DOUBLE), x - CAST(0.02 AS DOUBLE)) END",
+        "l1": "CASE WHEN NOT fit THEN lim WHEN NOT any_good THEN greatest(9, lim // 2) WHEN again THEN greatest(9, CAST(ceil(q2 * m2 / 1e6 * CAST(0.9 AS DOUBLE)) AS BIGINT)) ELSE greatest(9, CAST(trunc(m2 * q2 / 1e6 * (1 + x1)) AS BIGINT)) END",
+    }
+    zero = "CAST(0 AS BIGINT)"
+    start = {"rem": "CAST(NULL AS BIGINT)", "last": zero, "rst": zero, "beg": zero, "calls": zero, "good": zero, "bad": zero, "good_us": zero, "bad_us": zero, "minl": "CAST(-1 AS DOUBLE)", "maxq": "CAST(-1 AS DOUBLE)", "x": "CAST(0.3 AS DOUBLE)", "lim": "CAST(40 AS BIGINT)", "t": zero, "s": zero}
+    kept = lambda name: f"CASE WHEN clear THEN 0 ELSE {name} END"
+    step = {"rem": "rem1", "last": "CASE WHEN smp THEN at_us ELSE last END", "rst": "CASE WHEN again THEN at_us + 2 * mean ELSE r1 END", "beg": "CASE WHEN clear THEN at_us ELSE b1 END", "calls": kept("c1"), "good": kept("g1"), "bad": kept("f1"), "good_us": kept("gu1"), "bad_us": kept("fu1"), "minl": "m2", "maxq": "q2", "x": "x1", "lim": "l1", "t": "at_us", "s": "seq"}
+    return sql_parts.in_order(_TIMED, "node", "pos", start, lets, step, "_key AS node, t AS at_us, s AS seq, lim AS limit_now")
+
+
+def _decoded() -> str:
+    """Best path of three states as a fold that carries each state's score and path."""
+    tran = ((0.5, 0.25, 0.2, 0.05), (0.2, 0.5, 0.25, 0.05), (0.25, 0.2, 0.5, 0.05))
+    log = lambda p: f"CASE WHEN {p} > 1e-20 THEN log10({p}) ELSE -20.0 END"
+    lets = {f"e{j}": log(f"(exp(-(value - {m}) * (value - {m}) / 200.0) / sqrt(2 * 3.14159 * 100.0))") for j, m in enumerate((10.0, 30.0, 60.0))}
+    for j in range(3):
+        for i in range(3):
+            lets[f"s{i}{j}"] = f"b{i} + log10(CAST({tran[i][j]} AS DOUBLE))"
+        lets[f"from{j}"] = f"CASE WHEN s0{j} >= s1{j} AND s0{j} >= s2{j} THEN 0 WHEN s1{j} >= s2{j} THEN 1 ELSE 2 END"
+    first = (0.5, 0.25, 0.25)
+    start = {f"b{j}": "CAST(0 AS DOUBLE)" for j in range(3)} | {f"p{j}": "CAST([] AS INTEGER[])" for j in range(3)}
+    step = {f"b{j}": f"CASE WHEN pos = 1 THEN log10(CAST({first[j]} AS DOUBLE)) + e{j} ELSE greatest(s0{j}, s1{j}, s2{j}) + e{j} END" for j in range(3)}
+    step |= {f"p{j}": f"list_append(CASE WHEN pos = 1 THEN CAST([] AS INTEGER[]) WHEN from{j} = 0 THEN p0 WHEN from{j} = 1 THEN p1 ELSE p2 END, {j})" for j in range(3)}
+    end = f"log10(CAST({tran[0][3]} AS DOUBLE))"
+    folded = sql_parts.in_order("(SELECT user_id AS k, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)", "k", "pos", start, lets, step, f"_key, _rn, b0 + {end} AS b0, b1 + {end} AS b1, b2 + {end} AS b2, p0, p1, p2")
+    best = f"SELECT *, max(_rn) OVER (PARTITION BY _key) AS n FROM ({folded})"
+    path = "CASE WHEN b0 >= b1 AND b0 >= b2 THEN p0 WHEN b1 >= b2 THEN p1 ELSE p2 END"
+    return f"SELECT _key AS seq_id, CAST(unnest(range(n)) AS INTEGER) AS pos, unnest({path}) AS state, round(exp(greatest(b0, b1, b2) / n), 6) AS score FROM ({best}) WHERE _rn = n"
+
+
 _FIELD = "CASE WHEN {0} IS NULL THEN 3 WHEN strlen({0}) < 255 THEN strlen({0}) + 4 ELSE strlen({0}) + 7 END"
 ORACLES = {
     "circuit_breaker": _breaker(),
+    "auto_limit": _limit(),
+    "lalb_weight": _lalb(),
+    "hmm_decode": _decoded(),
     "sm_cas": _cas(),
     "memcache_fold": _memcache(),
     "recordio_roundtrip": "SELECT doc_id, CAST(16 + length(CAST(doc_id AS VARCHAR)) + strlen(text) AS BIGINT) AS n_frame, true AS same FROM documents WHERE text IS NOT NULL",
