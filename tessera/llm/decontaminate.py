@@ -33,6 +33,7 @@ import math
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,45 +49,57 @@ SAMPLE, AGREEMENT, RECALL = 2, 0.3, 0.999
 PER_WALK = 5
 REPETITIONS = math.ceil(math.log(1 / (1 - RECALL)) / AGREEMENT**SAMPLE)
 _PAIR_BITS = 24
-#: Bytes of text whose windows are gathered at once.
-_TEXT_BYTES = 4 << 20
+#: Bytes of text whose windows are gathered at once, and windows that walk at once.
+_TEXT_BYTES, WINDOWS = 64 << 20, 16_384
 
 
 def max_edits(length: int) -> int:
     return length // 4
 
 
-def embed(words: np.ndarray, seed: int) -> np.ndarray:
-    """CGK walks of the rows of ``words`` (n, L): n x 2 L symbols; past the end a row shows 0.
+def embed(words: np.ndarray, seed: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """CGK walks of the rows of ``words`` (n, L): 2 L x n symbols; past the end a row shows 0. Rows may be shorter: ``lengths`` words and then 0.
 
     A full walk has 3 L steps; at half a step each, the last third mostly shows
     the end mark and tells nothing, so it isn't sampled.
     """
-    n, length = words.shape
-    padded = np.concatenate([words, np.zeros((n, 1), np.uint64)], axis=1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, 2 * length), np.uint64)
-    for i in range(2 * length):
-        symbol = padded[rows, at]
-        out[:, i] = symbol
+    n, width = words.shape
+    flat = np.concatenate([words, np.zeros((n, 1), np.uint64)], axis=1).ravel()
+    # a row's place among all words
+    at = np.arange(n) * (width + 1)
+    ends = at + (width if lengths is None else lengths)
+    out = np.empty((2 * width, n), np.uint64)
+    for i in range(2 * width):
+        symbol = np.take(flat, at, out=out[i], mode="clip")
         step = mix(symbol + np.uint64(((seed << 20) + i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(1)
-        at = np.minimum(at + step.astype(np.int64), length)
+        np.minimum(at + step.view(np.int64), ends, out=at)
     return out
 
 
-def sample_keys(words: np.ndarray) -> Iterator[np.ndarray]:
-    """One array of keys for each repetition; the samples depend on the length only."""
-    length = words.shape[1]
+@cache
+def sampled(length: int) -> np.ndarray:
+    """Places of each repetition's sample (repetition, place) for items of a length."""
     rng = np.random.default_rng(length)
-    walk = None
-    for r in range(REPETITIONS):
-        if r % PER_WALK == 0:
-            walk = embed(words, r // PER_WALK)
-        places = rng.choice(2 * length, SAMPLE, replace=False)
-        acc = np.zeros(len(words), np.uint64)
-        for p in places:
-            acc = mix(acc + walk[:, p])
-        yield acc
+    return np.array([rng.choice(2 * length, SAMPLE, replace=False) for _ in range(REPETITIONS)])
+
+
+def sample_keys(words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(length, first row, last row, repetition, keys) of rows in order of length; rows of like lengths walk together."""
+    known, first = np.unique(lengths, return_index=True)
+    bounds = list(zip(known.tolist(), first.tolist(), [*first[1:].tolist(), len(lengths)], strict=True))
+    while bounds:
+        band = [x for x in bounds if 2 * x[0] <= 3 * bounds[0][0]]
+        bounds = bounds[len(band) :]
+        lo, hi, width = band[0][1], band[-1][2], band[-1][0]
+        for w in range(math.ceil(REPETITIONS / PER_WALK)):
+            walk = embed(words[lo:hi, :width], w, lengths[lo:hi])
+            for length, a, b in band:
+                part = walk[:, a - lo : b - lo]
+                for r in range(w * PER_WALK, min(REPETITIONS, (w + 1) * PER_WALK)):
+                    acc = np.zeros(b - a, np.uint64)
+                    for p in sampled(length)[r]:
+                        acc = mix(acc + part[p])
+                    yield length, a, b, r, acc
 
 
 def least_distance(pattern: list[int], text: list[int]) -> int:
@@ -143,14 +156,16 @@ class Items:
         self.slots, self.slot_first = np.unique(known[:, 0], return_index=True)
         self.slot_count = np.diff(np.append(self.slot_first, len(known)))
         self.slot_length = known[:, 1]
-        # for each length: the items and, for each repetition, their keys in order
-        self.tables = {}
-        for length, members in sorted(by_length.items()):
-            keys = []
-            for k in sample_keys(np.array([self.words[i] for i in members])):
-                order = np.argsort(k, kind="stable")
-                keys.append((k[order], np.array(members)[order]))
-            self.tables[length] = keys
+        # for each length and repetition: the items' keys in order
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {length: [] for length in sorted(by_length)}
+        members = np.array([i for length in self.tables for i in by_length[length]], np.int64)
+        lengths = np.array([len(self.words[i]) for i in members], np.int64)
+        words = np.zeros((len(members), lengths.max(initial=1)), np.uint64)
+        for k, i in enumerate(members):
+            words[k, : lengths[k]] = self.words[i]
+        for length, a, b, _, keys in sample_keys(words, lengths):
+            order = np.argsort(keys, kind="stable")
+            self.tables[length].append((keys[order], members[a:b][order]))
 
     def _starts(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, window starts, their rows) of a block that can match an item of that length; a start may lie before its row."""
@@ -209,10 +224,22 @@ class Items:
                 windows[length].append((len(blocks), starts, row, window))
             blocks.append((first, w.hash, w.first))
         wanted: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for length, parts in windows.items():
-            block = np.concatenate([np.full(len(x[1]), x[0]) for x in parts])
-            start, row = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
-            for at, item in self._matches(length, np.concatenate([x[3] for x in parts])):
+        parts = [(length, *x) for length in sorted(windows) for x in windows[length]]
+        if not parts:
+            return []
+        length = np.concatenate([np.full(len(x[2]), x[0]) for x in parts])
+        block = np.concatenate([np.full(len(x[2]), x[1]) for x in parts])
+        start, row = (np.concatenate([x[i] for x in parts]) for i in (2, 3))
+        ends = np.cumsum([len(x[2]) for x in parts])
+        for lo in range(0, len(length), WINDOWS):
+            hi = min(lo + WINDOWS, len(length))
+            words = np.zeros((hi - lo, int(length[hi - 1])), np.uint64)
+            for x, end in zip(parts, ends.tolist(), strict=True):
+                a, b = max(lo, end - len(x[2])), min(hi, end)
+                if a < b:
+                    words[a - lo : b - lo, : x[0]] = x[4][a - end + len(x[2]) : b - end + len(x[2])]
+            for at, item in self._matches(words, length[lo:hi]):
+                at += lo
                 wanted[int(block[at]), int(row[at]), int(item)].append(int(start[at]))
         out = []
         for (b, row, item), starts in wanted.items():
@@ -222,17 +249,17 @@ class Items:
                 out.append((first + row, item, best))
         return sorted(out)
 
-    def _matches(self, length: int, window: np.ndarray) -> np.ndarray:
-        """(window, item) pairs that share a key."""
+    def _matches(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(window, item) pairs of one length that share a key; windows are in order of length."""
         found = [np.zeros((0, 2), np.int64)]
-        for lo in range(0, len(window), 50_000):
-            for key, (known, members) in zip(sample_keys(window[lo : lo + 50_000]), self.tables[length], strict=True):
-                a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                some = np.flatnonzero(b > a)
-                if len(some):
-                    reps = b[some] - a[some]
-                    which = np.repeat(a[some], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    found.append(np.stack([np.repeat(some, reps) + lo, members[which]], axis=1))
+        for length, first, _, r, key in sample_keys(words, lengths):
+            known, members = self.tables[length][r]
+            a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+            some = np.flatnonzero(b > a)
+            if len(some):
+                reps = b[some] - a[some]
+                which = np.repeat(a[some], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                found.append(np.stack([np.repeat(some, reps) + first, members[which]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
     def _verify(self, item: int, h: np.ndarray, first: int, last: int, starts: list[int]) -> int | None:
