@@ -13,6 +13,8 @@ counts as filled up with zeros. Equal scores go to the smaller vec_id. A row is
 the query's own if it has its vec_id; repeated rows of a query are one query
 (the first vector in order counts), repeated candidate rows are candidates each.
 Null vec_ids take no part. Extra columns are ignored; an empty table gives no rows.
+Scores are 64-bit: exact for components up to 1e6 in a million dimensions, and not
+defined where a product or sum leaves that range.
 """
 
 from __future__ import annotations
