@@ -302,11 +302,24 @@ def atomic_map(ops: DataFrame) -> DataFrame:
 def memcache(ops: DataFrame) -> DataFrame:
     """(key, seq, status, value) of documented memcache operations in order, keys apart.
 
-    ops: key, seq, op, value (string), number (delta or cas). A set with a cas other than 0 needs the current one.
+    ops: key, seq, op, value (string), number (delta or cas). A set with a cas other than 0 needs the current one. A flush,
+    of whatever key, empties all keys for the operations after it; it has no row of its own, and a seq is one operation.
     """
+    if ops.where("op = 'flush'").limit(1).count():
+        marked = running_max_before(ops.withColumn("_f", F.when(F.col("op") == "flush", F.col("seq"))), "seq", "_f", "flushed")
+        ops = marked.where("op <> 'flush'").drop("_f")
+    else:
+        ops = ops.withColumn("flushed", F.lit(None).cast("long"))
 
     def step(s: dict, e) -> tuple:
+        if e.flushed == e.flushed and e.flushed is not None and s.get("flushed") != e.flushed:
+            s.clear()
+            s["flushed"] = e.flushed
         has, op = "v" in s, e.op
+        if op == "version":
+            return "ok", "1"
+        if op == "touch":
+            return ("ok" if has else "not_found"), None
         if op == "get":
             return ("ok", s["v"]) if has else ("not_found", None)
         if op in ("incr", "decr"):

@@ -257,6 +257,13 @@ def test_atomic_and_memcache(spark):
     assert [tuple(r)[2:] for r in folds.memcache(df).orderBy("seq").collect()] == [("ok", "5"), ("ok", "8"), ("ok", "80"), ("not_stored", None), ("ok", "0"), ("exists", None), ("ok", None), ("not_found", None)]
 
 
+def test_memcache_flush(spark):
+    m = [(1, 1, "set", "a"), (2, 2, "set", "b"), (1, 3, "touch", ""), (9, 4, "flush", ""), (1, 5, "get", ""), (2, 6, "add", "c"), (2, 7, "get", ""), (1, 8, "touch", ""), (1, 9, "version", "")]
+    df = spark.createDataFrame([(k, i, o, v, 0) for k, i, o, v in m], "key long, seq long, op string, value string, number long")
+    got = {r.seq: (r.status, r["value"]) for r in folds.memcache(df).collect()}
+    assert got == {1: ("ok", "a"), 2: ("ok", "b"), 3: ("ok", None), 5: ("not_found", None), 6: ("ok", "c"), 7: ("ok", "c"), 8: ("not_found", None), 9: ("ok", "1")}
+
+
 SAMPLES = [[0.0, 0.2, 0.4], [0.3, 0.2, 0.4], [0.4, 0.2, 0.4], [0.5, 0.2, 0.4], [5.0, 5.2, 8.4], [6.0, 5.2, 7.4], [4.0, 5.2, 4.4], [10.3, 10.4, 10.5], [10.1, 10.6, 10.7], [11.3, 10.2, 10.9]]
 
 
