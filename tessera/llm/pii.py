@@ -169,7 +169,10 @@ def disclosing_terms(spans: DataFrame) -> DataFrame:
         near = held.select(F.explode("near").alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
         both = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
         both = both.select("x.*").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-        near = keep(near.join(entities, "entity").join(both, ["entity", "term"]), "near")
+        # rows with the term near any value bound its rows from below: words that are frequent near other values are out before all texts are read
+        near_any = held.select(F.explode(F.array_distinct(F.col("near.term"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_any"))
+        near = near.join(entities, "entity").join(both, ["entity", "term"]).join(near_any, "term")
+        near = keep(near.where(2 * F.col("n_both") >= F.col("n_any")).drop("n_any"), "near")
         if near.limit(1).count() == 0:
             return spans.sparkSession.createDataFrame([], "term string, bits double")
         wanted = near.select(F.col("term").alias("w")).distinct()
