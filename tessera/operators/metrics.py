@@ -101,8 +101,9 @@ def dense(ticks: DataFrame, keys: list[str], tick: str, values: dict[str, object
     if lo is None:
         return ticks.fillna(values)
     # two numbers go to the driver; each key's ticks are made where the key is
-    each = F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias(tick)
-    full = ticks.select(*keys).distinct().select(*keys, each) if keys else ticks.sparkSession.range(lo, hi + 1, step).select(F.col("id").alias(tick))
+    kind = ticks.schema[tick].dataType
+    each = F.explode(F.sequence(F.lit(lo).cast(kind), F.lit(hi).cast(kind), F.lit(step))).alias(tick)
+    full = ticks.select(*keys).distinct().select(*keys, each) if keys else ticks.sparkSession.range(lo, hi + 1, step).select(F.col("id").cast(kind).alias(tick))
     return full.join(ticks, [*keys, tick], "left").fillna(values)
 
 

@@ -321,7 +321,7 @@ ORACLES = {
     "time_spans": "SELECT o_orderkey, " + ", ".join(f"CAST(sign(us) AS BIGINT) * (abs(us) // {n}) AS {k}" for k, n in (("days", 86_400_000_000), ("hours", 3_600_000_000), ("minutes", 60_000_000), ("seconds", 1_000_000), ("ms", 1000))) + ", CASE WHEN us > 0 THEN (us + 999) // 1000 ELSE -(abs(us) // 1000) END AS ms_up FROM (SELECT o_orderkey, o_orderkey * 7654321 - 93600500000 AS us FROM orders)",
     "time_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN us // 1000000 * 1000000 END AS parsed, us // 1000000 * 1000000 AS built, -(us // 1000000) - 1 AS sec, 1000000000 - 1000 * (us % 1000000 + 1) AS nsec, -us - 1 AS back FROM (SELECT o_orderkey, epoch_us(o_orderdate) AS us FROM orders)",
     "math_finite": "SELECT l_linenumber, CASE WHEN l_linenumber < 3 THEN 0 ELSE count(*) END AS n FROM lineitem GROUP BY 1",
-    "bit_array": "SELECT p_partkey, p_size % 128 IN (i, 100) AS held, least(i, 100) AS first, CASE WHEN i >= 70 THEN least(i, 100) ELSE 100 END AS later, CASE WHEN i >= 70 AND i < 120 AND i <> 100 THEN i ELSE 120 END AS bounded, CASE WHEN i < 100 THEN 100 ELSE 128 END AS cleared FROM (SELECT p_partkey, p_size, p_partkey % 128 AS i FROM part)",
+    "bit_array": "SELECT p_partkey, p_size % 128 IN (i, 100) AS held, least(i, 100) AS first, CASE WHEN i >= 70 THEN least(i, 100) ELSE 100 END AS later, CASE WHEN i >= 70 AND i < 120 AND i <> 100 THEN i ELSE 120 END AS bounded, CAST(CASE WHEN i < 100 THEN 100 ELSE 128 END AS BIGINT) AS cleared FROM (SELECT p_partkey, p_size, p_partkey % 128 AS i FROM part)",
     "bytes_pack_cut": "SELECT c_custkey, printf('%08X', c_custkey) || printf('%04X', c_nationkey) || lpad(hex(-c_custkey), 16, '0') AS raw, c_custkey AS a, CAST(c_nationkey AS BIGINT) AS b, -c_custkey AS e, printf('%08X', c_custkey) AS head, 10 AS n_rest, c_name AS name, c_mktsegment AS segment, true AS missing FROM customer",
     "random_guid": "SELECT c_custkey, true AS inside, true AS valid, false AS longer, true AS printable, c_custkey % 2 = 0 AS ok, CASE WHEN c_custkey % 2 = 0 THEN 'hi' END AS text FROM customer",
     "zip_by_position": "WITH a AS (SELECT l_orderkey, l_partkey AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS pos FROM lineitem), b AS (SELECT l_orderkey, b, row_number() OVER (PARTITION BY l_orderkey ORDER BY b) - 1 AS pos FROM (SELECT DISTINCT l_orderkey, l_suppkey AS b FROM lineitem)) SELECT l_orderkey, CAST(pos AS INTEGER) AS pos, a, b FROM a LEFT JOIN b USING (l_orderkey, pos)",
