@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, near-duplicates, benchmark passages, personal data, source mix.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
-returns a DataFrame; between stages the rows are written and read again.
+returns a DataFrame; between stages the rows are written and read again, and a
+stage's table goes once the next one's is written.
+
+Nulls, ties and clashes: a document whose text is null or has no letter has no
+language and goes with the first stage; a null doc_id, lang or source is kept; of
+near-duplicates the smallest doc_id stays, of repeated rows of it one; an empty table
+gives an empty one; columns of documents beyond those used are carried, whatever they are called.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, langid, mixing, neardup, pii
-from tessera.session import materialise, table
+from tessera.session import materialise, release, table
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
