@@ -3,7 +3,8 @@
 Documents are encoded with a public byte-level BPE and aggregated by encoded
 length. Suffix sums over the histogram then answer, for every context limit,
 how many documents and tokens lie at or above it, what a truncation to it keeps
-and which quantile it is; no per-document lengths are kept.
+and which quantile it is; no per-document lengths are kept. ``limits`` answers for
+the lengths that occur, ``at_limits`` for any limits, ``quantiles`` for shares.
 
 Nulls, ties and clashes: a null text counts as a document of length 0, as an
 empty one does; equal lengths share a row; repeated rows count each; doc_id is
@@ -17,10 +18,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import materialise
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,5 +89,25 @@ def limits(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(histogram: DataFrame, wanted: list[int]) -> DataFrame:
+    """(limit, docs_at_least, tokens_at_least, truncated_tokens, total_docs, total_tokens, quantile) of any limits, as ``limits`` has them, by one aggregate."""
+    n, c = F.col("n_tokens"), F.col("n_docs")
+    zero = F.lit(0).cast("long")
+
+    def sums(x: int) -> Column:
+        above = lambda v: F.coalesce(F.sum(F.when(n >= x, v)), zero)
+        upto = F.sum(F.when(n <= x, c)) / F.sum(c)
+        return F.struct(F.lit(x).cast("long").alias("limit"), above(c).alias("docs_at_least"), above(n * c).alias("tokens_at_least"), F.coalesce(F.sum(F.least(n, F.lit(x)) * c), zero).alias("truncated_tokens"), F.coalesce(F.sum(c), zero).alias("total_docs"), F.coalesce(F.sum(n * c), zero).alias("total_tokens"), F.coalesce(upto, F.lit(0.0)).alias("quantile"))
+
+    return histogram.agg(F.array(*[sums(x) for x in wanted]).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length within which at least that share of the documents lies; null without documents."""
+    least = [F.struct(F.lit(p).alias("share"), F.min(F.when(F.col("quantile") >= p, F.col("n_tokens"))).alias("n_tokens")) for p in shares]
+    return limits(histogram).agg(F.array(*least).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    return limits(length_histogram(docs, path))
+    """``limits`` of the documents; the histogram, a row for each length, is written so that texts are encoded once."""
+    return limits(materialise(length_histogram(docs, path), "lengths"))
