@@ -217,13 +217,13 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the ``classes`` that are not the root of their component of the similarity graph."""
     with scratch() as keep:
         live = likely(classes)
+        # the largest shuffle, of all texts, while little else is written
+        texts = keep(_texts(docs, live), "texts")
         rows = live.select(F.posexplode(_bands("keys")).alias("band", "bucket"), "digest", "n", "centre")
         hubs = rows.groupBy("bucket").agg(F.max(F.struct("centre", "digest")).alias("hub"), F.count("*").alias("members")).where("members > 1")
         hubs = materialise(hubs.select(F.col("bucket").alias("k"), "hub"), "hubs")
         shared = materialise(rows.join(hubs, F.col("bucket") == F.col("k")).select("bucket", "band", "digest", "n", "hub"), "buckets")
         release(hubs)
-        texts = keep(_texts(docs, live), "texts")
-
         # hubs come later in the order of (centre, digest) than their members: a forest
         first = shared.where("digest <> hub.digest").groupBy("digest").agg(F.max("hub").alias("hub"))
         tested = keep(first.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")), "pairs")
