@@ -43,8 +43,9 @@ def lookup(requests: DataFrame, code: str, points: DataFrame, buckets: int = 512
     r = requests.withColumn("_b", F.floor(F.col(code) / width).cast("int")).withColumn("_kind", F.lit(1)).withColumn("_s", F.lit(None).cast(dict(points.dtypes)["server"]))
     p = points.select(F.col("point").alias(code), F.floor(F.col("point") / width).cast("int").alias("_b"), F.lit(0).alias("_kind"), F.col("server").alias("_s"))
     u = r.unionByName(p, allowMissingColumns=True)
-    ahead = Window.partitionBy("_b").orderBy(F.col(code), F.col("_kind").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = u.withColumn("_f", F.first("_s", ignorenulls=True).over(ahead)).where("_kind = 1")
+    # from the end backwards: a growing frame is linear, a shrinking one isn't
+    ahead = Window.partitionBy("_b").orderBy(F.col(code).desc(), F.col("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = u.withColumn("_f", F.last("_s", ignorenulls=True).over(ahead)).where("_kind = 1")
     return found.join(F.broadcast(firsts), F.col("_b") == F.col("b")).withColumn("server", F.coalesce("_f", "next_server")).drop("_b", "_kind", "_s", "_f", "b", "next_server")
 
 
